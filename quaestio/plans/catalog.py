@@ -102,3 +102,76 @@ def q_top_hashtags(spark, sf_dir):
 @register("a11_distinct_datasets", O.with_posts("SELECT DISTINCT dataset FROM aposts WHERE dataset IS NOT NULL"))
 def q_distinct_datasets(spark, sf_dir):
     return profile.distinct_datasets(jobs.analysed_posts(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- sentences and candidates (3.2)
+
+from quaestio.operators import sampling, sentences  # noqa: E402
+
+
+@register("g1_sentences", O.with_questions("SELECT id, sent_no, start, text FROM sent"))
+def q_sentences(spark, sf_dir):
+    return sentences.sentences(jobs.analysed_posts(spark, sf_dir)).select("id", "sent_no", "start", "text")
+
+
+@register("g2_f1_f2_question_candidates", O.with_questions("""
+SELECT qid AS id, tweet_id, dataset, language, created_at, favorite_count, retweet_count, j, "offset", qtext AS text
+FROM questions"""))
+def q_candidates(spark, sf_dir):
+    c = jobs.question_candidates(spark, sf_dir)
+    return c.select("id", "tweet_id", "dataset", "language", "created_at", "favorite_count", "retweet_count",
+                    "j", "offset", "text")
+
+
+def _candidate_flags_sql():
+    cols = ", ".join(f"{K.duckdb_keyword_case('qtext', 'language', cat)} AS {name}"
+                     for name, cat in post_features.QUESTION_TEXT_FLAGS.items())
+    return O.with_questions(f"""SELECT qid AS id, language, {cols},
+        ends_with(trim(qtext, '!'), '?') AS has_question_mark FROM questions""")
+
+
+@register("p12_p19_p23_candidate_features", _candidate_flags_sql())
+def q_candidate_flags(spark, sf_dir):
+    c = post_features.flag_question_text(jobs.question_candidates(spark, sf_dir))
+    return c.select("id", "language", *post_features.QUESTION_TEXT_FLAGS,
+                    T.ends_with_question_mark(F.col("text")).alias("has_question_mark"))
+
+
+@register("a13_f4_sample_posts", O.with_posts("""
+SELECT dataset, flag, id, full_text, rank FROM (
+  SELECT dataset, flag, id, full_text,
+         row_number() OVER (PARTITION BY dataset, flag ORDER BY md5('12345' || id), id) AS rank
+  FROM (SELECT dataset, coalesce(has_disinfo_text_or_hashtags, FALSE) AS flag, id, full_text
+        FROM aposts WHERE dataset IS NOT NULL))
+WHERE rank <= 10"""))
+def q_sample_posts(spark, sf_dir):
+    s = sampling.sample_posts(jobs.analysed_posts(spark, sf_dir), 10)
+    return s.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@register("a12_f5_u2_short_distinct_candidates", O.with_questions("""
+SELECT DISTINCT language, qtext AS text FROM questions WHERE length(qtext) < 70"""))
+def q_short_distinct(spark, sf_dir):
+    return sampling.short_distinct_texts(jobs.question_candidates(spark, sf_dir), ["language"])
+
+
+def _feature_sample_sql():
+    cols = ", ".join(f"{K.duckdb_keyword_case('qtext', 'language', cat)} AS {name}"
+                     for name, cat in post_features.QUESTION_TEXT_FLAGS.items()
+                     if name in sampling.SHEET_FEATURES)
+    feats = ", ".join(sampling.SHEET_FEATURES)
+    return O.with_questions(f"""
+SELECT language, feature, value, text, rank FROM (
+  SELECT language, feature, value, text,
+         row_number() OVER (PARTITION BY language, feature, value ORDER BY md5('12345' || text), text) AS rank
+  FROM (SELECT DISTINCT language, feature, value, text FROM (
+          UNPIVOT (SELECT language, qtext AS text, {cols} FROM questions)
+          ON {feats} INTO NAME feature VALUE value)
+        WHERE value IS NOT NULL AND length(text) < 70))
+WHERE rank <= 50""")
+
+
+@register("a15_feature_sample_candidates", _feature_sample_sql())
+def q_feature_sample(spark, sf_dir):
+    c = post_features.flag_question_text(jobs.question_candidates(spark, sf_dir))
+    return sampling.feature_sample(c).withColumn("rank", F.col("rank").cast("bigint"))

@@ -25,3 +25,9 @@ def analysed_posts_from_raw(raw: DataFrame, question_count_mode: str = "chars")
 def analysed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D2 over the driver's documents table (see :mod:`quaestio.sources.testdata`)."""
     return analysed_posts_from_raw(testdata.raw_posts(spark, sf_dir))
+
+
+def question_candidates(spark: SparkSession, sf_dir: str, include_post_text: bool = False) -> DataFrame:
+    """Analysed posts -> candidate question rows."""
+    from quaestio.operators import sentences
+    return sentences.question_candidates(analysed_posts(spark, sf_dir), include_post_text)

@@ -65,3 +65,42 @@ aposts AS (
 
 def with_posts(select: str) -> str:
     return f"WITH {POSTS_CTE} {select}"
+
+
+SENTENCE_END_SQL = r"""([.!?…]+["''”’)\]]*)([ \t\n]+)"""
+
+SENTENCES_CTE = f"""
+pieces AS (
+  SELECT *, string_split(regexp_replace(full_text, '{SENTENCE_END_SQL}', '\\1\\2' || chr(1), 'g'), chr(1)) AS parts
+  FROM aposts
+),
+exploded AS (
+  SELECT id, language, dataset, created_at, favorite_count, retweet_count,
+         unnest(parts) AS piece, generate_subscripts(parts, 1) AS pos
+  FROM pieces
+),
+sent AS (
+  SELECT id, language, dataset, created_at, favorite_count, retweet_count, CAST(pos - 1 AS INTEGER) AS sent_no,
+         CAST(coalesce(sum(length(piece)) OVER (PARTITION BY id ORDER BY pos
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start,
+         regexp_replace(piece, '[ \\t\\n]+$', '') AS text
+  FROM exploded
+),
+cand AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY sent_no) - 1 AS INTEGER) AS j
+  FROM sent
+  WHERE {ends_qm_sql('text')} OR {K.duckdb_keyword_case('text', 'language', 'wh_words_all')}
+),
+questions AS (
+  SELECT * FROM (
+    SELECT 'Q' || id || '.' || CAST(j AS VARCHAR) AS qid, id AS tweet_id, language, dataset, created_at,
+           favorite_count, retweet_count, j, start AS "offset", text AS raw_text,
+           {clean_sql('text', 'language')} AS qtext
+    FROM cand)
+  WHERE qtext <> ''
+)
+"""
+
+
+def with_questions(select: str) -> str:
+    return f"WITH {POSTS_CTE}, {SENTENCES_CTE} {select}"
