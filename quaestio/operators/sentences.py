@@ -22,18 +22,21 @@ KEEP_POST_KEYS = ["created_at", "favorite_count", "retweet_count", "dataset", "l
 
 
 def split_sentences(text: Column) -> Column:
-    """G1: ``array<struct<start INT, text STRING>>`` in text order."""
+    """G1: ``array<struct<start INT, text STRING>>`` in text order.
+
+    One ``aggregate`` pass carries the running offset, so every piece is visited once.
+    """
     marked = F.regexp_replace(text, SENTENCE_END, "$1$2" + _MARK)
     pieces = F.split(marked, _MARK)
-    starts = F.aggregate(
+    empty = F.array().cast("array<struct<start:int,text:string>>")
+    return F.aggregate(
         pieces,
-        F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("pos")),
-        lambda acc, s: F.struct(F.array_append(acc["starts"], acc["pos"]).alias("starts"),
-                                (acc["pos"] + F.length(s)).alias("pos")),
-    )["starts"]
-    return F.transform(pieces, lambda s, k: F.struct(
-        F.get(starts, k).alias("start"),
-        F.regexp_replace(s, "[ \t\n]+$", "").alias("text")))
+        F.struct(empty.alias("out"), F.lit(0).alias("pos")),
+        lambda acc, s: F.struct(
+            F.array_append(acc["out"], F.struct(acc["pos"].alias("start"),
+                                                F.regexp_replace(s, "[ \t\n]+$", "").alias("text"))).alias("out"),
+            (acc["pos"] + F.length(s)).alias("pos")),
+        lambda acc: acc["out"])
 
 
 def is_candidate(sentence_text: Column, language: Column) -> Column:

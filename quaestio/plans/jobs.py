@@ -31,3 +31,47 @@ def question_candidates(spark: SparkSession, sf_dir: str, include_post_text: boo
     """Analysed posts -> candidate question rows."""
     from quaestio.operators import sentences
     return sentences.question_candidates(analysed_posts(spark, sf_dir), include_post_text)
+
+
+def spread_for_cpu(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over ``partitions`` tasks (default: the session's shuffle
+    partitions) before CPU-heavy per-row work. Input files map to tasks by size, not by
+    work: one file of long posts can be one task. An explicit count is kept by AQE, and
+    Spark sorts before a round-robin exchange so a retried task gets the same rows."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n)
+
+
+def classify_questions(candidates: DataFrame, annotator=None, keep_tokens: bool = False,
+                       remove_nonquestions: bool = True) -> DataFrame:
+    """Candidates -> questions (3.2): L0 + G4, the keyword features on the (possibly
+    shortened) text, P12, L2-L26, P29, then F3 and the S8 column order.
+
+    ``annotator`` maps a DataFrame with ``text, language`` to the same rows with a
+    ``tokens`` column (see :mod:`quaestio.operators.annotate`); by default the stand-in
+    parse of :mod:`quaestio.sources.testdata` is used.
+    """
+    from pyspark.sql import functions as F
+
+    from quaestio.functions import text as T
+    from quaestio.operators import annotate, rules, sentences
+    if annotator is None:
+        annotator = lambda df: annotate.annotate_with_expression(df, testdata.standin_parse)
+    parsed = annotator(spread_for_cpu(candidates))
+    feats = post_features.flag_question_text(parsed)
+    classified = rules.classify_sentences(feats)
+    out = (classified
+           .withColumn("has_question_mark", T.ends_with_question_mark(F.col("text")))
+           .withColumn("qwords_literal", T.join_words(F.col("qwords_literal")))
+           .withColumn("qwords_functional", T.join_words(F.col("qwords_functional")))
+           .drop("ends_with_question_mark", "matrix_verb", "matrix_subject", "has_tag_question"))
+    if remove_nonquestions:
+        out = out.filter(F.col("use") != "no")
+    if keep_tokens:
+        return out
+    return sentences.order_question_columns(out.drop("sent_start"))
+
+
+def questions(spark: SparkSession, sf_dir: str, annotator=None, keep_tokens: bool = False) -> DataFrame:
+    """D3 over the driver tables."""
+    return classify_questions(question_candidates(spark, sf_dir), annotator, keep_tokens)
