@@ -32,10 +32,10 @@ PARSE_TYPE = ST.ArrayType(TOKENS_TYPE)
 def sentence_text(text: Column, sentence: Column) -> Column:
     """Text of one parsed sentence: from its first token's start to its last token's end."""
     first = F.get(sentence, 0)
-    last = F.element_at(sentence, -1)
+    last = F.try_element_at(sentence, F.lit(-1))
     start = first["idx"]
     end = last["idx"] + F.length(last["text"])
-    return F.substring(text, start + 1, end - start)
+    return text.substr(start + 1, end - start)
 
 
 def keep_last_sentence(df: DataFrame, parse_col: str, reparse: Callable[[Column, Column], Column],
@@ -44,13 +44,13 @@ def keep_last_sentence(df: DataFrame, parse_col: str, reparse: Callable[[Column,
     """G4 (Q7): only the last sentence survives; re-parse it alone when it was not the only one."""
     p = F.col(parse_col)
     multi = F.size(p) > 1
-    last = F.element_at(p, -1)
+    last = F.try_element_at(p, F.lit(-1))
     out = (df.withColumn("_multi", multi)
            .withColumn("_shift", F.when(multi, F.get(last, 0)["idx"]).otherwise(F.lit(0)))
            .withColumn(text_col, F.when(multi, sentence_text(F.col(text_col), last)).otherwise(F.col(text_col))))
     if offset_col in df.columns:
         out = out.withColumn(offset_col, F.col(offset_col) + F.col("_shift"))
-    reparsed = F.element_at(reparse(F.col(text_col), F.col(language_col)), -1)
+    reparsed = F.try_element_at(reparse(F.col(text_col), F.col(language_col)), F.lit(-1))
     return (out.withColumn(tokens_col, F.when(F.col("_multi"), reparsed).otherwise(last))
             .drop("_multi", "_shift", parse_col))
 
@@ -69,7 +69,7 @@ def annotate_with_lookup(df: DataFrame, parses: DataFrame, text_col: str = "text
     table = parses.select(F.col("language").alias("_pl"), F.col("text").alias("_pt"), F.col("parse").alias("_parse"))
     joined = df.join(table, (F.col(language_col) == F.col("_pl")) & (F.col(text_col) == F.col("_pt"))).drop("_pl", "_pt")
     multi = F.size(F.col("_parse")) > 1
-    last = F.element_at(F.col("_parse"), -1)
+    last = F.try_element_at(F.col("_parse"), F.lit(-1))
     staged = (joined.withColumn("_multi", multi)
               .withColumn("_shift", F.when(multi, F.get(last, 0)["idx"]).otherwise(F.lit(0)))
               .withColumn(text_col, F.when(multi, sentence_text(F.col(text_col), last)).otherwise(F.col(text_col)))
@@ -77,7 +77,7 @@ def annotate_with_lookup(df: DataFrame, parses: DataFrame, text_col: str = "text
     if "offset" in df.columns:
         staged = staged.withColumn("offset", F.col("offset") + F.col("_shift"))
     again = table.select(F.col("_pl").alias("_rl"), F.col("_pt").alias("_rt"),
-                         F.element_at(F.col("_parse"), -1).alias("_reparsed"))
+                         F.try_element_at(F.col("_parse"), F.lit(-1)).alias("_reparsed"))
     cond = F.col("_multi") & (F.col(language_col) == F.col("_rl")) & (F.col(text_col) == F.col("_rt"))
     return (staged.join(again, cond, "left")
             .withColumn("tokens", F.when(F.col("_multi"), F.col("_reparsed")).otherwise(F.col("_last")))

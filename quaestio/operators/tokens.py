@@ -114,7 +114,7 @@ class Tree:
     def path_to_root(self, t: Column) -> Column:
         """L1: positions from ``t`` up to the root, both included (bounded by n steps)."""
         def step(acc, _x):
-            last = F.element_at(acc, -1)
+            last = F.try_element_at(acc, F.lit(-1))
             h = self.tok(last)["head"]
             return F.when(h.isNull() | (h == last), acc).otherwise(F.array_append(acc, h))
         return F.aggregate(F.sequence(F.lit(1), F.greatest(self.n, F.lit(1))), F.array(t["i"]), step)

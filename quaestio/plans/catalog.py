@@ -175,3 +175,62 @@ WHERE rank <= 50""")
 def q_feature_sample(spark, sf_dir):
     c = post_features.flag_question_text(jobs.question_candidates(spark, sf_dir))
     return sampling.feature_sample(c).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# ---------------------------------------------------------------- parsed questions (3.2-3.4): rows-only checks
+
+from quaestio.operators import annotate, evaluate  # noqa: E402
+from quaestio.sources import testdata  # noqa: E402
+
+
+@register("l0_g4_annotated_candidates")
+def q_annotated(spark, sf_dir):
+    c = jobs.spread_for_cpu(jobs.question_candidates(spark, sf_dir))
+    a = annotate.annotate_with_expression(c, testdata.standin_parse)
+    return a.select("id", "language", "text", "offset", F.size("tokens").alias("num_tokens"))
+
+
+@register("l2_l28_f3_s8_questions")
+def q_questions(spark, sf_dir):
+    return jobs.questions(spark, sf_dir)
+
+
+@register("a7_questions_per_dataset")
+def q_questions_per_dataset(spark, sf_dir):
+    return profile.questions_per_dataset(jobs.questions(spark, sf_dir))
+
+
+@register("a8_question_feature_means")
+def q_feature_means(spark, sf_dir):
+    return profile.question_feature_means(jobs.questions(spark, sf_dir))
+
+
+@register("a9_structure_use_counts")
+def q_structure_use(spark, sf_dir):
+    return profile.structure_use_counts(jobs.questions(spark, sf_dir))
+
+
+@register("a10_top_functional_qwords")
+def q_top_qwords(spark, sf_dir):
+    return profile.top_functional_qwords(jobs.questions(spark, sf_dir), 10)
+
+
+@register("a14_p30_s12_classification_sheet")
+def q_classification_sheet(spark, sf_dir):
+    return jobs.classification_sheet(jobs.questions(spark, sf_dir, keep_tokens=True))
+
+
+@register("a15_s13_feature_sheet")
+def q_feature_sheet(spark, sf_dir):
+    return jobs.feature_sheet(jobs.questions(spark, sf_dir))
+
+
+@register("e2_e4_roundtrip_scores")
+def q_roundtrip(spark, sf_dir):
+    s = jobs.roundtrip_scores(jobs.questions(spark, sf_dir, keep_tokens=True))
+    return s.select("id", "language", "text", "structure", "gold_structure", "tag_errors", "structure_error", "errors")
+
+
+@register("a17_total_errors")
+def q_total_errors(spark, sf_dir):
+    return evaluate.total_errors(jobs.roundtrip_scores(jobs.questions(spark, sf_dir, keep_tokens=True)))

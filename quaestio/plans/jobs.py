@@ -75,3 +75,42 @@ def classify_questions(candidates: DataFrame, annotator=None, keep_tokens: bool
 def questions(spark: SparkSession, sf_dir: str, annotator=None, keep_tokens: bool = False) -> DataFrame:
     """D3 over the driver tables."""
     return classify_questions(question_candidates(spark, sf_dir), annotator, keep_tokens)
+
+
+def classification_sheet(questions_with_tokens: DataFrame, k: int = 20, seed: str = "12345") -> DataFrame:
+    """A14 + F5 + P30 -> S12 lines: up to k distinct short texts per (language, structure,
+    use), each rendered with its predicted word tags."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from quaestio.operators import sampling
+    keys = ["language", "structure", "use"]
+    short = (questions_with_tokens.filter(F.length("text") < sampling.MAX_CHARS)
+             .select(*keys, "text", "tokens").dropDuplicates([*keys, "text"]))
+    w = Window.partitionBy(*keys).orderBy(sampling.sample_key(F.col("text"), seed), "text")
+    picked = short.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    return sampling.classification_sheet_lines(picked)
+
+
+def feature_sheet(questions: DataFrame, k: int = 50, seed: str = "12345") -> DataFrame:
+    """A15 + F5 -> S13 lines."""
+    from quaestio.operators import sampling
+    return sampling.feature_sheet_lines(sampling.feature_sample(questions, k, seed=seed))
+
+
+def roundtrip_scores(questions_with_tokens: DataFrame) -> DataFrame:
+    """E2-E4 over gold lines rendered from classified questions (P30 + a comment):
+    the untagged text is parsed again in single-sentence mode, classified, and scored
+    against the tags written into the line."""
+    from pyspark.sql import functions as F
+
+    from quaestio.functions import text as T
+    from quaestio.operators import evaluate, rules
+    lines = questions_with_tokens.select(
+        "id", "language",
+        F.concat(T.render_tagged_line(F.col("tokens"), F.col("structure")), F.lit(" // from "), F.col("id"))
+        .alias("line"))
+    gold = evaluate.parse_gold(lines)
+    parsed = spread_for_cpu(gold).withColumn(
+        "tokens", F.try_element_at(testdata.standin_parse_single(F.col("text"), F.col("language")), F.lit(1)))
+    return evaluate.score(rules.classify_sentences(parsed.filter(F.col("tokens").isNotNull())))

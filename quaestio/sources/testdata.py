@@ -87,7 +87,12 @@ def _pick(options: list[str], h: F.Column) -> F.Column:
     return F.get(arr, F.pmod(h, F.lit(len(options))).cast("int"))
 
 
-def standin_parse(text: F.Column, language: F.Column) -> F.Column:
+def standin_parse_single(text: F.Column, language: F.Column) -> F.Column:
+    """Single-sentence mode: the whole text is one sentence."""
+    return standin_parse(text, language, single_sentence=True)
+
+
+def standin_parse(text: F.Column, language: F.Column, single_sentence: bool = False) -> F.Column:
     """``array<array<token>>`` for ``text`` (see the note above)."""
     from quaestio.operators.tokens import let
     words = F.regexp_extract_all(text, F.lit(STANDIN_TOKEN), F.lit(1))
@@ -105,6 +110,8 @@ def standin_parse(text: F.Column, language: F.Column) -> F.Column:
             tok = F.struct(acc["sent"].alias("sent"), word.alias("text"), F.get(sp, k).alias("ws"),
                            acc["pos"].alias("idx"))
             ends = word.rlike(term) & (k < n - 1) & ~F.coalesce(F.get(w, k + 1).rlike(term), F.lit(False))
+            if single_sentence:
+                ends = F.lit(False)
             return F.struct(F.array_append(acc["out"], tok).alias("out"),
                             (acc["pos"] + F.length(word) + F.length(F.get(sp, k))).alias("pos"),
                             (acc["sent"] + F.when(ends, 1).otherwise(0)).alias("sent"))
@@ -112,7 +119,7 @@ def standin_parse(text: F.Column, language: F.Column) -> F.Column:
         return F.aggregate(F.sequence(F.lit(0), n - 1), init, step, lambda acc: acc["out"])
 
     def group(flat):
-        n_sents = F.coalesce(F.element_at(flat, -1)["sent"], F.lit(-1)) + 1
+        n_sents = F.coalesce(F.try_element_at(flat, F.lit(-1))["sent"], F.lit(-1)) + 1
         sents = F.transform(F.sequence(F.lit(0), n_sents - 1), lambda s: F.filter(flat, lambda t: t["sent"] == s))
         return F.transform(F.filter(sents, lambda s: F.size(s) > 0), _standin_tree)
 
