@@ -234,3 +234,43 @@ def q_roundtrip(spark, sf_dir):
 @register("a17_total_errors")
 def q_total_errors(spark, sf_dir):
     return evaluate.total_errors(jobs.roundtrip_scores(jobs.questions(spark, sf_dir, keep_tokens=True)))
+
+
+# ---------------------------------------------------------------- more sources
+
+from quaestio.sources.testdata import DUCKDB_RAW_CONVERSATION_POSTS, DUCKDB_RAW_POSTS  # noqa: E402
+
+
+@register("s4_u1_two_sources_per_dataset", O.with_posts("""
+SELECT dataset, count(id) AS num_posts,
+       avg(CAST(has_question AS INTEGER)) AS share_question,
+       avg(CAST(has_disinfo_hashtags AS INTEGER)) AS share_disinfo_hashtags,
+       avg(CAST(has_disinfo_text AS INTEGER)) AS share_disinfo_text,
+       avg(CAST(has_negation AS INTEGER)) AS share_negation
+FROM aposts WHERE dataset IS NOT NULL GROUP BY dataset""",
+    raw=f"{DUCKDB_RAW_POSTS} UNION ALL BY NAME {DUCKDB_RAW_CONVERSATION_POSTS}"))
+def q_two_sources(spark, sf_dir):
+    docs = testdata.raw_posts(spark, sf_dir)
+    conv = testdata.raw_posts_from_conversations(testdata.table(spark, sf_dir, "conversations"))
+    raw = profile.union_datasets([docs, conv])
+    return profile.posts_per_dataset(jobs.analysed_posts_from_raw(raw))
+
+
+@register("a5_event_histogram", """
+SELECT CAST(ts AS DATE) AS created_at, event_type AS dataset, count(*) AS num_posts
+FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL GROUP BY 1, 2""")
+def q_event_histogram(spark, sf_dir):
+    ev = testdata.table(spark, sf_dir, "events").select(
+        F.col("event_id").cast("string").alias("id"), F.col("ts").cast("date").alias("created_at"),
+        F.col("event_type").alias("dataset"))
+    return profile.date_histogram(ev)
+
+
+@register("l13_l15_sentence_analysis")
+def q_sentence_analysis(spark, sf_dir):
+    from quaestio.operators import rules
+    c = jobs.spread_for_cpu(jobs.question_candidates(spark, sf_dir))
+    a = annotate.annotate_with_expression(c, testdata.standin_parse)
+    out = rules.classify_sentences(a)
+    return out.select("id", "language", "matrix_verb", "matrix_subject", "subj_verb_inversion", "has_tag_question",
+                      "ends_with_question_mark", "structure", "use")

@@ -36,8 +36,8 @@ def language_sql(ds: str) -> str:
             f"ELSE '???' END")
 
 
-POSTS_CTE = f"""
-raw AS ({DUCKDB_RAW_POSTS}),
+POSTS_CTE = """
+raw AS ({raw}),
 typed AS (
   SELECT id,
          CAST(coalesce(try_strptime(created_at, '%Y-%m-%d %H:%M:%S'), try_strptime(created_at, '%Y-%m-%d')) AS DATE) AS created_at,
@@ -46,15 +46,15 @@ typed AS (
          list_filter(list_transform(string_split(trim(coalesce(hashtags, ''), '[]'), ','),
                                     lambda x: lower(trim(x, ' "'''))), lambda x: x <> '') AS hashtags,
          favorite_count, retweet_count, dataset, source,
-         {language_sql('dataset')} AS language
+         {language} AS language
   FROM raw
 ),
 posts AS (
   SELECT *,
          num_questions > 0 AS has_question,
-         {K.duckdb_tag_case('hashtags', 'language', 'disinfo_hashtags')} AS has_disinfo_hashtags,
-         {K.duckdb_keyword_case('full_text', 'language', 'disinfo_hashtags')} AS has_disinfo_text,
-         {K.duckdb_keyword_case('full_text', 'language', 'negations')} AS has_negation
+         {tag} AS has_disinfo_hashtags,
+         {text} AS has_disinfo_text,
+         {neg} AS has_negation
   FROM (SELECT *, CAST(length(full_text) - length(replace(full_text, '?', '')) AS INTEGER) AS num_questions FROM typed)
 ),
 aposts AS (
@@ -63,8 +63,16 @@ aposts AS (
 """
 
 
-def with_posts(select: str) -> str:
-    return f"WITH {POSTS_CTE} {select}"
+def posts_cte(raw: str = DUCKDB_RAW_POSTS) -> str:
+    return POSTS_CTE.format(
+        raw=raw, language=language_sql("dataset"),
+        tag=K.duckdb_tag_case("hashtags", "language", "disinfo_hashtags"),
+        text=K.duckdb_keyword_case("full_text", "language", "disinfo_hashtags"),
+        neg=K.duckdb_keyword_case("full_text", "language", "negations"))
+
+
+def with_posts(select: str, raw: str = DUCKDB_RAW_POSTS) -> str:
+    return f"WITH {posts_cte(raw)} {select}"
 
 
 SENTENCE_END_SQL = r"""([.!?…]+["''”’)\]]*)([ \t\n]+)"""
@@ -103,4 +111,4 @@ questions AS (
 
 
 def with_questions(select: str) -> str:
-    return f"WITH {POSTS_CTE}, {SENTENCES_CTE} {select}"
+    return f"WITH {posts_cte()}, {SENTENCES_CTE} {select}"

@@ -164,3 +164,25 @@ def _standin_tree(sent: F.Column) -> F.Column:
         return let(root, lambda r: F.transform(toks, lambda t: finish(t, r)))
 
     return let(F.transform(sent, base), with_root)
+
+
+def raw_posts_from_conversations(conversations: DataFrame) -> DataFrame:
+    """conversations -> raw post rows: one post per turn, dataset named after the role."""
+    return conversations.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
+        F.lit(None).cast("string").alias("created_at"),
+        F.col("text").alias("full_text"),
+        F.lit("").alias("quoted_text"),
+        F.lit("[]").alias("hashtags"),
+        F.lit(0).cast("bigint").alias("favorite_count"),
+        F.col("turn").cast("bigint").alias("retweet_count"),
+        F.concat(F.lit("french_conv_"), F.col("role")).alias("dataset"),
+    )
+
+
+DUCKDB_RAW_CONVERSATION_POSTS = """
+SELECT 'c' || CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS created_at,
+       text AS full_text, '' AS quoted_text, '[]' AS hashtags, CAST(0 AS BIGINT) AS favorite_count,
+       CAST(turn AS BIGINT) AS retweet_count, 'french_conv_' || role AS dataset, CAST(NULL AS VARCHAR) AS source
+FROM conversations
+"""
