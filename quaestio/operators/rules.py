@@ -13,6 +13,8 @@ then only evaluates those two tag-dependent tests.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,7 +125,7 @@ def inversion(tree: Tree, text: Column, verb: Column, subj: Column) -> Column:
     est = (tree.lang == "french") & F.substring(F.lower(text), 1, 20).contains("est-ce")
     v = tree.tok(verb)
     s = tree.tok(subj)
-    inv1 = (verb < subj) | tree.in_vocab(s["lemma"], "wh_words_all")
+    inv1 = (verb < subj) | F.coalesce(s["v_whlemma"], F.lit(False))
     adv = tree.any_child(v, lambda c: (c["i"] < verb) & (c["dep"] == "advmod"))
     inv2 = F.when(inv1 & (tree.lang == "dutch") & adv, F.lit(False)).otherwise(inv1)
     subord = F.exists(tree.before(verb), lambda m: (m["dep"] == "mark") & (m["pos"] == "SCONJ") & (m["head"] == verb))
@@ -216,16 +218,15 @@ def likely_indirect_head(tree: Tree, e: Column, is_question: Column) -> Column:
     none = F.size(subjects) == 0
     spk = anyf("spk") | none
     pres = F.coalesce(e["pres"], F.lit(False))
-    lemma = e["clemma"]
     q, nq = is_question, ~is_question
-    know = tree.in_vocab(lemma, "verbs_like_know") & (
+    know = e["v_know"] & (
         (q & pres & (who | adr | ex | imp)) | (nq & spk & e["negated"] & pres) | e["wanted"])
-    see = tree.in_vocab(lemma, "verbs_like_see") & q & ~pres & (who | adr | ex)
-    wonder = tree.in_vocab(lemma, "verbs_like_wonder") & (
+    see = e["v_see"] & q & ~pres & (who | adr | ex)
+    wonder = e["v_wonder"] & (
         (nq & (spk | imp | none) & pres) | (q & (ex | imp | adr) & pres))
-    noun_q = tree.in_vocab(lemma, "nouns_like_question") & nq & pres & ~Tree.has_morph(e, "Number", "Plur")
-    noun_info = tree.in_vocab(lemma, "nouns_like_information") & pres
-    ask = tree.in_vocab(lemma, "verbs_like_ask") & nq & (ex | spk | imp)
+    noun_q = e["v_qnoun"] & nq & pres & ~Tree.has_morph(e, "Number", "Plur")
+    noun_info = e["v_info"] & pres
+    ask = e["v_ask"] & nq & (ex | spk | imp)
     sconj_before = tree.any_child(e, lambda c: (c["pos"] == "SCONJ") & (c["i"] < e["i"]))
     return F.coalesce((know | see | wonder | noun_q | noun_info | ask) & ~sconj_before, F.lit(False))
 
@@ -297,13 +298,11 @@ def fronted_precompute(tree: Tree, t: Column, mv: Column, ccomp_above: Column) -
 def complementizer_rules(tree: Tree, x: Column, e: Column, earlier_hit: Column) -> Column:
     """L20 for token ``x`` and embedder ``e``; ``earlier_hit`` = some earlier token tagged
     ``indirect`` might itself be a complementizer of ``e`` (the recursive clause)."""
-    r1 = tree.any_child(e, lambda c: tree.in_vocab(c["lemma"], "neutral_pronouns")
-                        & c["dep"].isin(*OBJECTLIKE_DEPS) & (c["i"] != x["i"]))
+    r1 = tree.any_child(e, lambda c: c["v_neutral"] & c["dep"].isin(*OBJECTLIKE_DEPS) & (c["i"] != x["i"]))
     r2 = (x["dep"] == "mark") & (tree.tok(tree.head(x)["head"])["i"] == e["i"])
     r3 = tree.any_child(e, lambda c: tree.any_child(c, lambda g: (g["dep"] == "mark") & (g["i"] != x["i"])
-                                                     & tree.in_vocab(g["lemma"], "complementizers")))
-    r4 = tree.any_child(e, lambda c: (c["dep"] == "mark") & tree.in_vocab(c["lemma"], "complementizers")
-                        & (c["i"] != x["i"]))
+                                                     & g["v_compl"]))
+    r4 = tree.any_child(e, lambda c: (c["dep"] == "mark") & c["v_compl"] & (c["i"] != x["i"]))
     cc = (x["dep"] == "cc") & (x["pos"] == "CCONJ")
     return (F.when(r1, False).when(r2, True).when(r3, False).when(r4, False)
             .when(cc & earlier_hit, False)
@@ -355,6 +354,20 @@ def classify_sentences(df: DataFrame, tokens_col: str = "tokens", text_col: str
     """L2-L27 over parsed sentences. Adds ``ends_with_question_mark, matrix_verb,
     matrix_subject, subj_verb_inversion, has_tag_question, structure, use,
     qwords_literal, qwords_functional`` and a ``qtype`` field on every token."""
+    app = df.sparkSession.sparkContext.applicationId
+    out = df
+    for name, column in _stage_columns(app, tokens_col, text_col, language_col, accept_upper_neg):
+        out = out.withColumn(name, column)
+    out = out.drop("_facts", "_ctx", "_exclamative", "_matrix")
+    return fence(out, [c for c in df.columns if c != tokens_col], [tokens_col, *RESULT_COLUMNS])
+
+
+@functools.lru_cache(maxsize=16)
+def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str,
+                   accept_upper_neg: bool) -> tuple[tuple[str, Column], ...]:
+    """The staged column expressions, built once per application: constructing them
+    issues many thousands of JVM calls, while the expressions themselves are plain,
+    session-independent trees that can be reused by every query."""
     lang = F.col(language_col)
     text = F.col(text_col)
     tc = F.col(tokens_col)
@@ -362,60 +375,58 @@ def classify_sentences(df: DataFrame, tokens_col: str = "tokens", text_col: str
     def tree():
         return Tree(F.col(tokens_col), lang, accept_upper_neg)
 
-    out = df.withColumn(tokens_col, with_children(tc)).withColumn(tokens_col, enrich_tokens(tree()))
+    steps = [(tokens_col, with_children(tc)), (tokens_col, enrich_tokens(tree()))]
     tr = tree()
     root = tr.root()
     sent_facts = F.struct(F.coalesce(Tree.has_morph(root, "Tense", "Pres"), F.lit(False)).alias("root_pres"),
                           F.exists(tc, lambda t: Tree.has_morph(t, "Tense", "Past")).alias("any_past"),
                           root["i"].alias("root_i"))
-    out = (out.withColumn("_facts", sent_facts)
-           .withColumn(tokens_col, let(F.col("_facts"), lambda f: enrich_tokens_2(tree(), f["root_pres"], f["any_past"])))
-           .withColumn("ends_with_question_mark", T.ends_with_question_mark(text))
-           .withColumn("_exclamative", text.endswith("!"))
-           .withColumn("_matrix", matrix_subject_and_verb(tree()))
-           .withColumn("matrix_verb", F.col("_matrix.verb"))
-           .withColumn("matrix_subject", F.col("_matrix.subj")))
-    out = out.withColumn("subj_verb_inversion",
-                         inversion(tree(), text, F.col("matrix_verb"), F.col("matrix_subject")))
-    out = out.withColumn("has_tag_question", tag_question(tree(), text, F.col("ends_with_question_mark"),
-                                                          F.col("subj_verb_inversion")))
+    steps += [
+        ("_facts", sent_facts),
+        (tokens_col, let(F.col("_facts"), lambda f: enrich_tokens_2(tree(), f["root_pres"], f["any_past"]))),
+        ("ends_with_question_mark", T.ends_with_question_mark(text)),
+        ("_exclamative", text.endswith("!")),
+        ("_matrix", matrix_subject_and_verb(tree())),
+        ("matrix_verb", F.col("_matrix.verb")),
+        ("matrix_subject", F.col("_matrix.subj")),
+        ("subj_verb_inversion", inversion(tree(), text, F.col("matrix_verb"), F.col("matrix_subject"))),
+        ("has_tag_question", tag_question(tree(), text, F.col("ends_with_question_mark"),
+                                          F.col("subj_verb_inversion"))),
+    ]
     is_q = F.col("ends_with_question_mark") & ~F.col("has_tag_question")
     ctx = F.struct(F.col("_facts.root_i").alias("root_i"), is_q.alias("is_q"),
                    F.col("matrix_verb").alias("mv"), F.col("ends_with_question_mark").alias("qm"),
                    F.col("_exclamative").alias("excl"))
-    out = out.withColumn("_ctx", ctx)
-
-    def stage3(c):
-        tr3 = tree()
-        return F.transform(tc, lambda t: t
-                           .withField("lih", F.when(t["emb"], likely_indirect_head(tr3, t, c["is_q"]))
-                                      .otherwise(F.lit(False)))
-                           .withField("notq", F.when(t["pqw"], not_a_question_word(tr3, t)).otherwise(F.lit(False)))
-                           .withField("relc", F.when(t["pqw"], ordinary_relclause(tr3, t, c["root_i"]))
-                                      .otherwise(F.lit(False)))
-                           .withField("mnc", might_not_be_complementizer(tr3, t)))
-    out = out.withColumn(tokens_col, let(F.col("_ctx"), stage3))
-
-    def stage4(c):
-        tr4 = tree()
-        return F.transform(tc, lambda t: t.withField(
-            "pre", F.when(t["pqw"], embedder_precompute(tr4, t, tr4.tok(c["root_i"])))))
-    out = out.withColumn(tokens_col, let(F.col("_ctx"), stage4))
-
-    def stage5(c):
-        tr5 = tree()
-        return F.transform(tc, lambda t: t.withField("fr", F.when(t["pqw"], fronted_precompute(
-            tr5, t, c["mv"], F.coalesce(t["pre"]["ccomp_above"], F.lit(False))))))
-    out = out.withColumn(tokens_col, let(F.col("_ctx"), stage5))
+    steps.append(("_ctx", ctx))
+
+    def word_facts(c):
+        # lih, notq, relc, mnc, pre and fr read other tokens' earlier-stage fields only
+        # (and pre/fr this token's own), so one pass computes them all.
+        trw = tree()
+
+        def per_token(t):
+            pre = F.when(t["pqw"], embedder_precompute(trw, t, trw.tok(c["root_i"])))
+            return let(pre, lambda p: t
+                       .withField("lih", F.when(t["emb"], likely_indirect_head(trw, t, c["is_q"]))
+                                  .otherwise(F.lit(False)))
+                       .withField("notq", F.when(t["pqw"], not_a_question_word(trw, t)).otherwise(F.lit(False)))
+                       .withField("relc", F.when(t["pqw"], ordinary_relclause(trw, t, c["root_i"]))
+                                  .otherwise(F.lit(False)))
+                       .withField("mnc", might_not_be_complementizer(trw, t))
+                       .withField("pre", p)
+                       .withField("fr", F.when(t["pqw"], fronted_precompute(
+                           trw, t, c["mv"], F.coalesce(p["ccomp_above"], F.lit(False))))))
+        return F.transform(tc, per_token)
+    steps.append((tokens_col, let(F.col("_ctx"), word_facts)))
 
     def fold(c):
         tr6 = tree()
         init = F.transform(F.slice(tc, 1, 0), lambda t: t.withField("qtype", F.lit(None).cast("string")))
         return F.aggregate(tc, init, lambda done, t: F.array_append(
             done, t.withField("qtype", word_tag(tr6, t, done, c["qm"], c["excl"]))))
-    out = out.withColumn(tokens_col, let(F.col("_ctx"), fold))
-    out = classify_question(out, tokens_col)
-    return fence(out, [c for c in df.columns if c != tokens_col], [tokens_col, *RESULT_COLUMNS])
+    steps.append((tokens_col, let(F.col("_ctx"), fold)))
+    steps += list(question_columns(tokens_col))
+    return tuple(steps)
 
 
 RESULT_COLUMNS = ["ends_with_question_mark", "matrix_verb", "matrix_subject", "subj_verb_inversion",
@@ -436,8 +447,8 @@ def fence(df: DataFrame, passthrough: list[str], results: list[str]) -> DataFram
     return df.select(*passthrough, F.inline_outer(packed))
 
 
-def classify_question(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
-    """Structure, use and the literal / functional question words."""
+def question_columns(tokens_col: str = "tokens"):
+    """L26 as (name, column) steps: structure, use, literal and functional question words."""
     tc = F.col(tokens_col)
     words = lambda tag: F.transform(F.filter(tc, lambda t: t["qtype"] == tag), lambda t: F.lower(t["text"]))
     fronted, insitu, indirect = words("fronted"), words("insitu"), words("indirect")
@@ -449,10 +460,16 @@ def classify_question(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
                  .when(F.col("ends_with_question_mark"),
                        F.when(inv.isNull(), "elliptic").when(inv, "polar").otherwise("risingdecl"))
                  .otherwise("decl"))
-    use = (F.when(F.size(indirect) > 0, "indirect").when(structure != "decl", "direct").otherwise("no"))
-    return (df.withColumn("structure", structure).withColumn("use", use)
-            .withColumn("qwords_literal", literal)
-            .withColumn("qwords_functional", F.when(F.size(indirect) > 0, indirect).otherwise(literal)))
+    use = (F.when(F.size(indirect) > 0, "indirect").when(F.col("structure") != "decl", "direct").otherwise("no"))
+    return (("structure", structure), ("use", use), ("qwords_literal", literal),
+            ("qwords_functional", F.when(F.size(indirect) > 0, indirect).otherwise(literal)))
+
+
+def classify_question(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+    """L26 on a frame whose tokens carry ``qtype``."""
+    for name, column in question_columns(tokens_col):
+        df = df.withColumn(name, column)
+    return df
 
 
 def is_rising_declarative(df: DataFrame) -> DataFrame:

@@ -47,7 +47,8 @@ def is_candidate(sentence_text: Column, language: Column) -> Column:
 
 def sentences(posts: DataFrame, text_col: str = "full_text") -> DataFrame:
     """All sentences of all posts, one row each: ``id, sent_no, start, text`` (+ language)."""
-    return (posts.select("id", "language", F.posexplode(split_sentences(F.col(text_col))).alias("sent_no", "s"))
+    return (posts.select("id", "language", F.posexplode_outer(split_sentences(F.col(text_col))).alias("sent_no", "s"))
+            .filter(F.col("sent_no").isNotNull())
             .select("id", "language", "sent_no", F.col("s.start").alias("start"), F.col("s.text").alias("text")))
 
 
@@ -62,8 +63,12 @@ def question_candidates(posts: DataFrame, include_post_text: bool = False) -> Da
     lang = F.col("language")
     cands = F.filter(split_sentences(F.col("full_text")), lambda s: is_candidate(s["text"], lang))
     prefixed = [F.col(c).alias(c if c in KEEP_POST_KEYS else "tweet_" + c) for c in posts.columns]
+    # The outer form keeps Catalyst from inferring a ``size(_cands) > 0`` filter that it
+    # would push below the projection, evaluating the split twice; posts without
+    # candidates give one NULL row, removed right after the generator.
     exploded = (posts.withColumn("_cands", cands)
-                .select(*prefixed, F.posexplode("_cands").alias("j", "cand")))
+                .select(*prefixed, F.posexplode_outer("_cands").alias("j", "cand"))
+                .filter(F.col("j").isNotNull()))
     out = (exploded
            .withColumn("text", T.clean_sentence(F.col("cand.text"), lang))
            .filter(F.col("text") != "")

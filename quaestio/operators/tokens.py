@@ -152,31 +152,52 @@ def with_children(toks: Column) -> Column:
                                 lambda c: c["i"])))
 
 
+LEMMA_CATEGORIES = {  # field -> vocabulary, tested on the raw lemma
+    "exist": "personal_existentials", "imp": "impersonals", "who": "who_like", "v_neg": "negations",
+    "v_perf": "perfect_auxiliaries", "v_neutral": "neutral_pronouns", "v_compl": "complementizers",
+    "v_whlemma": "wh_words_all"}
+CLEMMA_CATEGORIES = {  # field -> vocabulary, tested on the corrected lemma
+    "v_emb": "all_embedders", "v_want": "verbs_like_want", "v_know": "verbs_like_know", "v_see": "verbs_like_see",
+    "v_wonder": "verbs_like_wonder", "v_qnoun": "nouns_like_question", "v_info": "nouns_like_information",
+    "v_ask": "verbs_like_ask"}
+
+
 def enrich_tokens(tree: Tree) -> Column:
-    """Stage 1: raw-field flags per token (L2, L3, L4, L5, L6, finite-verb flags)."""
+    """Stage 1: per-token facts from the token's own fields and its children's raw
+    fields (L2-L6, L16, L18, vocabulary memberships, finite-verb flags). Vocabulary
+    tests happen here once, so later rules read booleans instead of term lists."""
     def f(t):
-        return (t.withField("clemma", tree.corrected_lemma(t))
-                .withField("verblike", Tree.is_verblike(t))
-                .withField("neg", tree.is_negation(t))
-                .withField("adr", Tree.has_morph(t, "Person", "2"))
-                .withField("spk", Tree.has_morph(t, "Person", "1"))
-                .withField("exist", tree.in_vocab(t["lemma"], "personal_existentials"))
-                .withField("imp", tree.in_vocab(t["lemma"], "impersonals"))
-                .withField("who", tree.in_vocab(t["lemma"], "who_like"))
-                .withField("fin", t["pos"].isin(*VERBLIKE_POS) & Tree.has_morph(t, "VerbForm", "Fin"))
-                .withField("subj_child", tree.any_child(t, lambda c: c["dep"].isin(*SUBJECTLIKE_DEPS)))
-                .withField("cc_child", tree.any_child(t, lambda c: c["dep"] == "cc")))
+        def with_clemma(cl):
+            out = t.withField("clemma", cl)
+            for name, cat in LEMMA_CATEGORIES.items():
+                out = out.withField(name, tree.in_vocab(t["lemma"], cat))
+            for name, cat in CLEMMA_CATEGORIES.items():
+                out = out.withField(name, tree.in_vocab(cl, cat))
+            low = F.lower(t["text"])
+            pol = Tree.has_morph(t, "Polarity", "neg")
+            if tree.accept_upper_neg:
+                pol = pol | Tree.has_morph(t, "Polarity", "Neg")
+            return (out.withField("verblike", Tree.is_verblike(t))
+                    .withField("neg", (t["dep"] == "neg") | pol | tree.in_vocab(t["lemma"], "negations"))
+                    .withField("adr", Tree.has_morph(t, "Person", "2"))
+                    .withField("spk", Tree.has_morph(t, "Person", "1"))
+                    .withField("fin", t["pos"].isin(*VERBLIKE_POS) & Tree.has_morph(t, "VerbForm", "Fin"))
+                    .withField("pqw", tree.in_vocab(low, "wh_words_all"))
+                    .withField("only_emb", tree.in_vocab(low, "wh_words_only_embedded"))
+                    .withField("subj_child", tree.any_child(t, lambda c: c["dep"].isin(*SUBJECTLIKE_DEPS)))
+                    .withField("cc_child", tree.any_child(t, lambda c: c["dep"] == "cc")))
+        return let(tree.corrected_lemma(t), with_clemma)
     return F.transform(tree.toks, f)
 
 
 def enrich_tokens_2(tree: Tree, root_pres: Column, any_past: Column) -> Column:
-    """Stage 2: flags that read stage-1 fields of other tokens (L6-L9, L12 skip, L16, L18)."""
+    """Stage 2: facts that read stage-1 fields of other tokens (L6-L9, L12 skip)."""
     def aux_children_pres(t):
         return tree.all_children(t, lambda c: (c["pos"] != "AUX") | Tree.has_morph(c, "Tense", "Pres"))
 
     def present(t):
         inf = Tree.has_morph(t, "VerbForm", "Inf")
-        perfect_aux = tree.any_child(t, lambda c: (c["pos"] == "AUX") & tree.in_vocab(c["lemma"], "perfect_auxiliaries"))
+        perfect_aux = tree.any_child(t, lambda c: (c["pos"] == "AUX") & c["v_perf"])
         return (F.when(Tree.has_morph(t, "VerbForm", "Fin") & Tree.has_morph(t, "Tense", "Pres"), True)
                 .when(inf & perfect_aux, False)
                 .when(inf & aux_children_pres(t), True)
@@ -187,11 +208,9 @@ def enrich_tokens_2(tree: Tree, root_pres: Column, any_past: Column) -> Column:
 
     def f(t):
         h = tree.head(t)
-        low = F.lower(t["text"])
-        emb = tree.in_vocab(t["clemma"], "all_embedders") | tree.any_child(t, lambda c: c["dep"] == "ccomp")
+        emb = t["v_emb"] | tree.any_child(t, lambda c: c["dep"] == "ccomp")
         wanted = ((t["dep"] == "xcomp") & (h["dep"] == "ROOT") & Tree.has_morph(h, "VerbForm", "Inf")
-                  & tree.in_vocab(h["clemma"], "verbs_like_want")) | tree.any_child(
-                      t, lambda c: tree.in_vocab(c["clemma"], "verbs_like_want"))
+                  & h["v_want"]) | tree.any_child(t, lambda c: c["v_want"])
         skip = tree.any_child(t, lambda c: c["pos"].isin(*VERBLIKE_POS) & c["dep"].isin("aux", "cop")
                               & Tree.has_morph(c, "VerbForm", "Fin") & (c["i"] < t["i"]))
         return (t.withField("emb", emb)
@@ -199,7 +218,5 @@ def enrich_tokens_2(tree: Tree, root_pres: Column, any_past: Column) -> Column:
                 .withField("negated", tree.any_child(t, lambda c: c["neg"]))
                 .withField("wanted", F.coalesce(wanted, F.lit(False)))
                 .withField("skipfv", skip)
-                .withField("pres", F.when(emb, present(t)).otherwise(F.lit(None).cast("boolean")))
-                .withField("pqw", tree.in_vocab(low, "wh_words_all"))
-                .withField("only_emb", tree.in_vocab(low, "wh_words_only_embedded")))
+                .withField("pres", F.when(emb, present(t)).otherwise(F.lit(None).cast("boolean"))))
     return F.transform(tree.toks, f)

@@ -16,9 +16,17 @@ from quaestio.sources import posts as P
 from quaestio.sources import testdata
 
 
+def spread_narrow_scan(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer tasks than the session has cores (a small
+    table in one file or row group); a large scan already has enough splits and is
+    left alone, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def analysed_posts_from_raw(raw: DataFrame, question_count_mode: str = "chars") -> DataFrame:
     """Raw post rows (text columns as scanned, with a ``dataset`` column) -> D2."""
-    typed = P.type_posts(raw)
+    typed = P.type_posts(spread_narrow_scan(raw))
     return post_features.flag_posts(P.normalise_posts(typed), question_count_mode)
 
 
