@@ -84,6 +84,6 @@ def question_candidates(posts: DataFrame, include_post_text: bool = False) -> Da
 def order_question_columns(questions: DataFrame) -> DataFrame:
     """``id``, ``text`` first, then question columns, ``tweet_*`` last (stable), no parse."""
     cols = [c for c in questions.columns if c not in ("tokens", "sentences", "parse")]
-    key = {c: (1 if c.startswith("tweet_") else 0) - (1 if c in ("id", "text") else 0) for c in cols}
-    ordered = sorted(cols, key=lambda c: key[c])
-    return questions.select(*ordered)
+    head = [c for c in ("id", "text") if c in cols]
+    rest = sorted((c for c in cols if c not in head), key=lambda c: c.startswith("tweet_"))
+    return questions.select(*head, *rest)

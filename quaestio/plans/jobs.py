@@ -92,12 +92,16 @@ def classification_sheet(questions_with_tokens: DataFrame, k: int = 20, seed: st
     from pyspark.sql import functions as F
 
     from quaestio.operators import sampling
+    from quaestio.functions import text as T
     keys = ["language", "structure", "use"]
+    # render first: the shuffles below then move one short line per question, not its parse
     short = (questions_with_tokens.filter(F.length("text") < sampling.MAX_CHARS)
-             .select(*keys, "text", "tokens").dropDuplicates([*keys, "text"]))
+             .select(*keys, "text", T.render_tagged_line(F.col("tokens"), F.col("structure")).alias("line"))
+             .dropDuplicates([*keys, "text"]))
     w = Window.partitionBy(*keys).orderBy(sampling.sample_key(F.col("text"), seed), "text")
     picked = short.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return sampling.classification_sheet_lines(picked)
+    return picked.select("language", F.lit("classification").alias("sheet"),
+                         F.concat_ws("/", "structure", "use").alias("section"), "rank", "line")
 
 
 def feature_sheet(questions: DataFrame, k: int = 50, seed: str = "12345") -> DataFrame:

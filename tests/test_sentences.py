@@ -45,7 +45,7 @@ def test_candidates_ordinals_and_columns(spark):
     with_text = sentences.question_candidates(posts, include_post_text=True)
     assert "tweet_full_text" in with_text.columns
     ordered = sentences.order_question_columns(q).columns
-    assert ordered[:2] == ["text", "id"] or ordered[:2] == ["id", "text"]
+    assert ordered[:2] == ["id", "text"]
     assert all(c.startswith("tweet_") for c in ordered[-5:])
 
 
