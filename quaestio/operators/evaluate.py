@@ -4,8 +4,8 @@ Gold line grammar: ``sentence with word[tag] | structure // comment``. Structure
 comment are optional; lines starting ``//`` are comments, ``// <language>`` opens a
 section and ``// stop`` ends the file.
 
-E1 needs line order within a file, so it runs a window per file (gold corpora are
-hand-made and small). E2-E4 are per-row expressions: the gold tags and the parse of
+E1 needs line order within a file; it is kept per file split (see
+:func:`gold_lines`), so large corpora are not funnelled into one task. E2-E4 are per-row expressions: the gold tags and the parse of
 the untagged sentence sit in the same row, so comparing them needs no join.
 """
 
@@ -22,24 +22,52 @@ SECTION_LANGUAGES = ["dutch", "english", "french", "italian"]
 
 
 def read_corpus(spark: SparkSession, paths) -> DataFrame:
-    """Every line of every file with its 0-based line number: ``path, line_no, line``."""
-    raw = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    return raw.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line_no", "line"))
+    """Every line of every file: ``path, block, seq, line``.
+
+    Lines are read with the ordinary (splittable) text source; ``block`` is the start of
+    the file split a line came from and ``seq`` increases in reading order inside a
+    split, so ``(path, block, seq)`` is the line order and no file has to pass through
+    one task whole.
+    """
+    raw = spark.read.text(paths)
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+                      F.monotonically_increasing_id().alias("seq"), F.col("value").alias("line"))
 
 
 def gold_lines(lines: DataFrame) -> DataFrame:
-    """Drop blank and comment lines, carry the section language forward, stop at ``// stop``."""
+    """Drop blank and comment lines, carry the section language forward, stop at
+    ``// stop``; adds ``language`` and the 0-based ``line_no`` within the file.
+
+    The carry-forward crosses split boundaries through a per-split summary (one row
+    per split: line count, last section header, any stop line), scanned in order per
+    file; the per-line windows are partitioned by split, so a task never holds more
+    than one split's lines.
+    """
     line = F.col("line")
     comment = line.startswith("//")
     content = F.lower(F.btrim(line, F.lit("/ ")))
-    w = Window.partitionBy("path").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (lines
-            .withColumn("_lang", F.when(comment & content.isin(*SECTION_LANGUAGES), content))
-            .withColumn("_stop", F.when(comment & (content == "stop"), 1).otherwise(0))
-            .withColumn("language", F.last("_lang", ignorenulls=True).over(w))
-            .withColumn("_stopped", F.max("_stop").over(w))
+    flagged = (lines
+               .withColumn("_lang", F.when(comment & content.isin(*SECTION_LANGUAGES), content))
+               .withColumn("_stop", F.when(comment & (content == "stop"), 1).otherwise(0)))
+    blocks = (flagged.groupBy("path", "block").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max_by(F.col("_lang"), F.when(F.col("_lang").isNotNull(), F.col("seq"))).alias("_last_lang"),
+        F.max("_stop").alias("_any_stop")))
+    before = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        "path", "block",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lines_before"),
+        F.last("_last_lang", ignorenulls=True).over(before).alias("_lang_before"),
+        F.coalesce(F.max("_any_stop").over(before), F.lit(0)).alias("_stop_before"))
+    w = (Window.partitionBy("path", "block").orderBy("seq")
+         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return (flagged.join(blocks, ["path", "block"])
+            .withColumn("line_no", (F.col("_lines_before") + F.row_number().over(
+                Window.partitionBy("path", "block").orderBy("seq")) - 1).cast("int"))
+            .withColumn("language", F.coalesce(F.last("_lang", ignorenulls=True).over(w), F.col("_lang_before")))
+            .withColumn("_stopped", F.greatest(F.max("_stop").over(w), F.col("_stop_before")))
             .filter((F.col("_stopped") == 0) & ~comment & (T.py_strip(line) != ""))
-            .drop("_lang", "_stop", "_stopped"))
+            .drop("_lang", "_stop", "_stopped", "_lines_before", "_lang_before", "_stop_before", "block", "seq"))
 
 
 def split_line(line: Column, language: Column) -> Column:

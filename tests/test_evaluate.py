@@ -59,3 +59,20 @@ def test_gold_lines_and_scores(spark, tmp_path):
     assert (total["errors"], total["tag_errors"], total["structure_errors"], total["lines"]) == (2, 1, 1, 5)
     conf = {(r["gold"], r["predicted"]): r["tokens"] for r in evaluate.confusion(scored).collect()}
     assert conf == {("no", "no"): 1, ("insitu", "fronted"): 1, ("indirect", "indirect"): 1}
+
+
+def test_gold_lines_across_splits(spark, tmp_path):
+    lines = ["// dutch"] + [f"zin {i}?" for i in range(40)] + ["// french"] + [f"phrase {i} ?" for i in range(40)] \
+        + ["", "// stop", "na stop?"]
+    path = tmp_path / "big.txt"
+    path.write_text("\n".join(lines) + "\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64")
+    try:
+        raw = evaluate.read_corpus(spark, str(path))
+        assert raw.select("block").distinct().count() > 5
+        got = sorted((r["line_no"], r["language"], r["line"]) for r in evaluate.gold_lines(raw).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(i, "dutch", lines[i]) for i in range(1, 41)] + [(i, "french", lines[i]) for i in range(42, 82)]
+    assert got == want
