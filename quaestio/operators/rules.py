@@ -58,11 +58,13 @@ def is_subject_of(tree: Tree, t: Column, v: Column) -> Column:
 def subject_of(tree: Tree, v: Column) -> Column:
     """Position of the verb's subject (first match not PronType=Rel; French may take
     the second when it directly follows the verb and is ``ce`` or a hyphen pronoun)."""
-    m = F.filter(tree.toks, lambda t: is_subject_of(tree, t, v) & ~Tree.has_morph(t, "PronType", "Rel"))
-    second = F.get(m, 1)
-    take_second = ((tree.lang == "french") & (second["i"] == v["i"] + 1)
-                   & ((second["text"] == "ce") | ((second["pos"] == "PRON") & second["text"].startswith("-"))))
-    return F.when(F.coalesce(take_second, F.lit(False)), second["i"]).otherwise(F.get(m, 0)["i"])
+    def pick(m):
+        second = F.get(m, 1)
+        take_second = ((tree.lang == "french") & (second["i"] == v["i"] + 1)
+                       & ((second["text"] == "ce") | ((second["pos"] == "PRON") & second["text"].startswith("-"))))
+        return F.when(F.coalesce(take_second, F.lit(False)), second["i"]).otherwise(F.get(m, 0)["i"])
+    return let(F.filter(tree.toks, lambda t: is_subject_of(tree, t, v) & ~Tree.has_morph(t, "PronType", "Rel")),
+               pick)
 
 
 # ----------------------------------------------------------------------------- L12, L13
@@ -141,15 +143,17 @@ def tag_question(tree: Tree, text: Column, ends_qm: Column, inv: Column) -> Colu
     english = (tree.lang == "english") & (
         (F.slice(poss, -4, 4) == F.array(*[F.lit(x) for x in ("AUX", "PART", "PRON", "PUNCT")]))
         | (F.slice(poss, -3, 3) == F.array(*[F.lit(x) for x in ("AUX", "PRON", "PUNCT")])))
-    stripped = F.regexp_replace(text, f"^{NON_WORD}+|{NON_WORD}+$", "")
     tags_map = F.create_map(*[x for lang in vocab.LANGUAGES for x in (
         F.lit(lang), F.array(*[F.lit(t) for t in vocab.tag_questions[lang]]))])
-    ends_tag = F.exists(F.coalesce(F.element_at(tags_map, tree.lang), F.array().cast("array<string>")),
-                        lambda tag: stripped.endswith(tag))
-    return (F.when(english, F.lit(True))
-            .when((tree.lang == "french") & stripped.endswith(" ou non"), ~F.coalesce(inv, F.lit(False)))
-            .when(ends_qm & ends_tag, F.lit(True))
-            .otherwise(F.lit(False)))
+
+    def decide(stripped):
+        ends_tag = F.exists(F.coalesce(F.element_at(tags_map, tree.lang), F.array().cast("array<string>")),
+                            lambda tag: stripped.endswith(tag))
+        return (F.when(english, F.lit(True))
+                .when((tree.lang == "french") & stripped.endswith(" ou non"), ~F.coalesce(inv, F.lit(False)))
+                .when(ends_qm & ends_tag, F.lit(True))
+                .otherwise(F.lit(False)))
+    return let(F.regexp_replace(text, f"^{NON_WORD}+|{NON_WORD}+$", ""), decide)
 
 
 # ----------------------------------------------------------------------------- L17, L21, L22, L24
@@ -168,10 +172,10 @@ def not_a_question_word(tree: Tree, t: Column) -> Column:
     following = F.lower(T.py_strip(F.array_join(F.transform(F.slice(tree.toks, t["i"] + 1, tree.n),
                                                             lambda x: F.concat(x["text"], x["ws"])), "")))
     french = ((t["i"] > 2) & (F.lower(prv2["text"]) == "à") & (F.lower(prv["text"]) == "ce")) \
-        | preceding.endswith("est -ce") | preceding.endswith("est ce") \
+        | let(preceding, lambda p: p.endswith("est -ce") | p.endswith("est ce")) \
         | ((t["text"] == "ou") & (t["pos"] == "CCONJ") & (t["dep"] == "cc")) \
         | ((low == "que") & (h["dep"] == "dep") & ~tree.any_child(h, lambda c: c["pos"].isin(*VERBLIKE_POS))) \
-        | following.startswith("quand même") | following.startswith("quand bien même")
+        | let(following, lambda f: f.startswith("quand même") | f.startswith("quand bien même"))
     return F.coalesce(F.when(tree.lang == "dutch", dutch).when(tree.lang == "french", french).otherwise(False),
                       F.lit(False))
 
@@ -210,13 +214,42 @@ def ordinary_relclause(tree: Tree, t: Column, root_i: Column) -> Column:
     return F.coalesce(expr, F.lit(False))
 
 
-def likely_indirect_head(tree: Tree, e: Column, is_question: Column) -> Column:
-    """L24 for embedder ``e`` (``is_question`` = question mark and no tag question)."""
-    subjects = F.filter(tree.toks, lambda t: is_subject_of(tree, t, e))
-    anyf = lambda field: F.exists(subjects, lambda s: s[field])
-    ex, imp, who, adr = anyf("exist"), anyf("imp"), anyf("who"), anyf("adr")
-    none = F.size(subjects) == 0
-    spk = anyf("spk") | none
+def plural_noun_subjects(tree: Tree) -> Column:
+    """Positions matching L10's verb-independent pattern (a plural NOUN ``advmod`` right
+    before its plural ROOT head): such a token counts as a subject of every verb."""
+    def hit(t):
+        h = tree.head(t)
+        return ((t["pos"] == "NOUN") & Tree.has_morph(t, "Number", "Plur") & (t["dep"] == "advmod")
+                & (h["dep"] == "ROOT") & (t["i"] == h["i"] - 1) & Tree.has_morph(h, "Number", "Plur"))
+    return F.transform(F.filter(tree.toks, lambda t: F.coalesce(hit(t), F.lit(False))), lambda t: t["i"])
+
+
+def likely_indirect_head(tree: Tree, e: Column, is_question: Column, plural_nouns: Column) -> Column:
+    """L24 for embedder ``e`` (``is_question`` = question mark and no tag question).
+
+    Every L10 pattern ties the subject to ``e``'s children, its head's children, its
+    head, the two following positions, position 1, or the verb-independent plural-noun
+    pattern; only those candidates are tested, in one pass that collects all the
+    subject facts the rule needs."""
+    empty = F.array().cast("array<int>")
+    h = tree.head(e)
+    cands = F.concat(F.coalesce(e["children"], empty), F.coalesce(h["children"], empty),
+                     F.array(e["head"], e["i"] + 1, e["i"] + 2, F.lit(1)), plural_nouns)
+    init = F.struct(*[F.lit(False).alias(k) for k in ("any", "ex", "imp", "who", "spk", "adr")])
+
+    def step(acc, ci):
+        t = tree.tok(ci)
+        hit = is_subject_of(tree, t, e)
+        return F.struct(*[(acc[k] | (hit & F.coalesce(t[f], F.lit(False)) if f else acc[k] | hit)).alias(k)
+                          for k, f in (("any", None), ("ex", "exist"), ("imp", "imp"), ("who", "who"),
+                                       ("spk", "spk"), ("adr", "adr"))])
+    return let(F.aggregate(cands, init, step), lambda subj: _indirect_head_decision(tree, e, is_question, subj))
+
+
+def _indirect_head_decision(tree: Tree, e: Column, is_question: Column, subj: Column) -> Column:
+    ex, imp, who, adr = subj["ex"], subj["imp"], subj["who"], subj["adr"]
+    none = ~subj["any"]
+    spk = subj["spk"] | none
     pres = F.coalesce(e["pres"], F.lit(False))
     q, nq = is_question, ~is_question
     know = e["v_know"] & (
@@ -239,9 +272,8 @@ def embedder_precompute(tree: Tree, t: Column, root: Column) -> Column:
     h = tree.head(t)
     hh = tree.tok(h["head"])
     hhh = tree.tok(hh["head"])
-    prs = F.filter(tree.before(t["i"]), lambda y: (y["pos"] == "VERB") & y["dep"].isin("nsubj", "parataxis"))
-    first = F.get(prs, 0)
-    a = F.when(F.coalesce(first["emb"], F.lit(False)), first["i"])
+    first_verb = F.get(F.filter(tree.before(t["i"]), lambda y: (y["pos"] == "VERB") & y["dep"].isin("nsubj", "parataxis")), 0)
+    a = let(first_verb, lambda first: F.when(F.coalesce(first["emb"], F.lit(False)), first["i"]))
     objish = ["obj", "advcl"] + CCOMPLIKE_DEPS
     aux_emb = F.get(F.filter(tree.children(h), lambda c: c["dep"].isin("aux", "aux:tense") & c["emb"]), 0)
     b = (F.when((t["dep"] == "advmod") & (t["head"] == root["i"]) & root["emb"] & (root["i"] < t["i"]), root["i"])
@@ -272,9 +304,11 @@ def embedder_precompute(tree: Tree, t: Column, root: Column) -> Column:
                    .otherwise(acc))
         return F.when(acc["done"], acc).otherwise(decided)
 
-    walk = F.aggregate(path, init, step)
-    return F.struct(a.alias("a"), b.alias("b"), walk["kind"].alias("walk_kind"), walk["idx"].alias("walk_idx"),
-                    F.exists(path, lambda pi: tree.tok(pi)["dep"] == "ccomp").alias("ccomp_above"))
+    def assemble(pth):
+        return let(F.aggregate(pth, init, step), lambda walk: F.struct(
+            a.alias("a"), b.alias("b"), walk["kind"].alias("walk_kind"), walk["idx"].alias("walk_idx"),
+            F.exists(pth, lambda pi: tree.tok(pi)["dep"] == "ccomp").alias("ccomp_above")))
+    return let(path, assemble)
 
 
 def fronted_precompute(tree: Tree, t: Column, mv: Column, ccomp_above: Column) -> Column:
@@ -330,21 +364,24 @@ def word_tag(tree: Tree, t: Column, done: Column, ends_qm: Column, exclamative:
     pre = t["pre"]
     b_tok = tree.tok(pre["b"])
     w_tok = tree.tok(pre["walk_idx"])
-    embedder = (F.when(pre["a"].isNotNull(), pre["a"])
-                .when(pre["b"].isNotNull() & might_be_complementizer(tree, t, b_tok, done), pre["b"])
-                .when(pre["walk_kind"] == "verb",
-                      F.when(might_be_complementizer(tree, t, w_tok, done), pre["walk_idx"]))
-                .when(pre["walk_kind"] == "noun", pre["walk_idx"]))
+    embedder_expr = (F.when(pre["a"].isNotNull(), pre["a"])
+                     .when(pre["b"].isNotNull() & might_be_complementizer(tree, t, b_tok, done), pre["b"])
+                     .when(pre["walk_kind"] == "verb",
+                           F.when(might_be_complementizer(tree, t, w_tok, done), pre["walk_idx"]))
+                     .when(pre["walk_kind"] == "noun", pre["walk_idx"]))
     can_direct = ends_qm & ~t["only_emb"]
-    mnc = embedder.isNull() | t["mnc"]
     fronted = F.when(t["fr"]["conj"], F.exists(done, lambda x: x["qtype"] == "fronted")).otherwise(t["fr"]["base"])
-    lih = F.coalesce(tree.tok(embedder)["lih"], F.lit(False))
+
+    def decide(embedder):
+        mnc = embedder.isNull() | t["mnc"]
+        lih = F.coalesce(tree.tok(embedder)["lih"], F.lit(False))
+        return (F.when(can_direct & fronted & ~t["relc"] & mnc, F.lit("fronted"))
+                .when(embedder.isNotNull() & lih & ~exclamative, F.lit("indirect"))
+                .when(can_direct & ~t["relc"] & mnc, F.lit("insitu"))
+                .otherwise(F.lit("no")))
     return (F.when(~t["pqw"], F.lit(None).cast("string"))
             .when(t["notq"], F.lit("no"))
-            .when(can_direct & fronted & ~t["relc"] & mnc, F.lit("fronted"))
-            .when(embedder.isNotNull() & lih & ~exclamative, F.lit("indirect"))
-            .when(can_direct & ~t["relc"] & mnc, F.lit("insitu"))
-            .otherwise(F.lit("no")))
+            .otherwise(let(embedder_expr, decide)))
 
 
 # ----------------------------------------------------------------------------- the job
@@ -354,7 +391,10 @@ def classify_sentences(df: DataFrame, tokens_col: str = "tokens", text_col: str
     """L2-L27 over parsed sentences. Adds ``ends_with_question_mark, matrix_verb,
     matrix_subject, subj_verb_inversion, has_tag_question, structure, use,
     qwords_literal, qwords_functional`` and a ``qtype`` field on every token."""
-    app = df.sparkSession.sparkContext.applicationId
+    try:
+        app = df.sparkSession.sparkContext.applicationId
+    except Exception:  # noqa: BLE001 - no SparkContext handle (Connect): build per call
+        app = str(id(df))
     out = df
     for name, column in _stage_columns(app, tokens_col, text_col, language_col, accept_upper_neg):
         out = out.withColumn(name, column)
@@ -396,7 +436,8 @@ def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str,
     is_q = F.col("ends_with_question_mark") & ~F.col("has_tag_question")
     ctx = F.struct(F.col("_facts.root_i").alias("root_i"), is_q.alias("is_q"),
                    F.col("matrix_verb").alias("mv"), F.col("ends_with_question_mark").alias("qm"),
-                   F.col("_exclamative").alias("excl"))
+                   F.col("_exclamative").alias("excl"), F.exists(tc, lambda t: t["pqw"]).alias("has_qw"),
+                   plural_noun_subjects(tree()).alias("plural_nouns"))
     steps.append(("_ctx", ctx))
 
     def word_facts(c):
@@ -405,30 +446,40 @@ def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str,
         trw = tree()
 
         def per_token(t):
+            # Only what the fold and the output need travels on: every stage boundary
+            # serialises the whole token array.
             pre = F.when(t["pqw"], embedder_precompute(trw, t, trw.tok(c["root_i"])))
-            return let(pre, lambda p: t
-                       .withField("lih", F.when(t["emb"], likely_indirect_head(trw, t, c["is_q"]))
-                                  .otherwise(F.lit(False)))
-                       .withField("notq", F.when(t["pqw"], not_a_question_word(trw, t)).otherwise(F.lit(False)))
-                       .withField("relc", F.when(t["pqw"], ordinary_relclause(trw, t, c["root_i"]))
-                                  .otherwise(F.lit(False)))
-                       .withField("mnc", might_not_be_complementizer(trw, t))
-                       .withField("pre", p)
-                       .withField("fr", F.when(t["pqw"], fronted_precompute(
-                           trw, t, c["mv"], F.coalesce(p["ccomp_above"], F.lit(False))))))
+            return let(pre, lambda p: F.struct(
+                *[t[f].alias(f) for f in FOLD_FIELDS],
+                # only read as the embedder of a question word: skip sentences without one
+                F.when(c["has_qw"] & t["emb"], likely_indirect_head(trw, t, c["is_q"], c["plural_nouns"]))
+                .otherwise(F.lit(False))
+                .alias("lih"),
+                F.when(t["pqw"], not_a_question_word(trw, t)).otherwise(F.lit(False)).alias("notq"),
+                F.when(t["pqw"], ordinary_relclause(trw, t, c["root_i"])).otherwise(F.lit(False)).alias("relc"),
+                might_not_be_complementizer(trw, t).alias("mnc"),
+                p.alias("pre"),
+                F.when(t["pqw"], fronted_precompute(trw, t, c["mv"], F.coalesce(p["ccomp_above"], F.lit(False))))
+                .alias("fr")))
         return F.transform(tc, per_token)
     steps.append((tokens_col, let(F.col("_ctx"), word_facts)))
 
     def fold(c):
         tr6 = tree()
-        init = F.transform(F.slice(tc, 1, 0), lambda t: t.withField("qtype", F.lit(None).cast("string")))
+        def slim(t, qtype):
+            return F.struct(*[t[f].alias(f) for f in OUTPUT_FIELDS], qtype.alias("qtype"))
+        init = F.transform(F.slice(tc, 1, 0), lambda t: slim(t, F.lit(None).cast("string")))
         return F.aggregate(tc, init, lambda done, t: F.array_append(
-            done, t.withField("qtype", word_tag(tr6, t, done, c["qm"], c["excl"]))))
+            done, slim(t, word_tag(tr6, t, done, c["qm"], c["excl"]))))
     steps.append((tokens_col, let(F.col("_ctx"), fold)))
     steps += list(question_columns(tokens_col))
     return tuple(steps)
 
 
+# token fields kept after the word stage (read by the fold) and after the fold (output)
+OUTPUT_FIELDS = ["i", "idx", "text", "ws", "lemma", "pos", "dep", "head", "morph", "clemma"]
+FOLD_FIELDS = OUTPUT_FIELDS + ["children", "v_neutral", "v_compl", "pqw", "only_emb"]
+
 RESULT_COLUMNS = ["ends_with_question_mark", "matrix_verb", "matrix_subject", "subj_verb_inversion",
                   "has_tag_question", "structure", "use", "qwords_literal", "qwords_functional"]
 

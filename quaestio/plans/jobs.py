@@ -20,8 +20,12 @@ def spread_narrow_scan(df: DataFrame) -> DataFrame:
     """Round-robin a scan that yields fewer tasks than the session has cores (a small
     table in one file or row group); a large scan already has enough splits and is
     left alone, so nothing is shuffled at scale."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. a Connect session exposes neither; keep the scan as is
+        return df
+    return df.repartition(cores) if splits < cores else df
 
 
 def analysed_posts_from_raw(raw: DataFrame, question_count_mode: str = "chars") -> DataFrame:
