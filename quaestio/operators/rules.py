@@ -55,16 +55,27 @@ def is_subject_of(tree: Tree, t: Column, v: Column) -> Column:
     return F.coalesce(cond, F.lit(False))
 
 
-def subject_of(tree: Tree, v: Column) -> Column:
-    """Position of the verb's subject (first match not PronType=Rel; French may take
-    the second when it directly follows the verb and is ``ce`` or a hyphen pronoun)."""
+def subject_candidates(tree: Tree, v: Column, plural_nouns: Column) -> Column:
+    """Positions that can satisfy L10 for verb ``v``, ascending and distinct: every
+    pattern ties the subject to ``v``'s children, its head's children, its head, the two
+    following positions, position 1, or the verb-independent plural-noun pattern."""
+    empty = F.array().cast("array<int>")
+    cands = F.concat(F.coalesce(v["children"], empty), F.coalesce(tree.head(v)["children"], empty),
+                     F.array(v["head"], v["i"] + 1, v["i"] + 2, F.lit(1)), plural_nouns)
+    return F.array_sort(F.array_distinct(F.filter(cands, lambda ci: ci.isNotNull() & (ci >= 0) & (ci < tree.n))))
+
+
+def subject_of(tree: Tree, v: Column, plural_nouns: Column) -> Column:
+    """Position of the verb's subject (first match in sentence order, not
+    PronType=Rel; French may take the second when it directly follows the verb and is
+    ``ce`` or a hyphen pronoun). Only the structural candidates are tested."""
     def pick(m):
         second = F.get(m, 1)
         take_second = ((tree.lang == "french") & (second["i"] == v["i"] + 1)
                        & ((second["text"] == "ce") | ((second["pos"] == "PRON") & second["text"].startswith("-"))))
         return F.when(F.coalesce(take_second, F.lit(False)), second["i"]).otherwise(F.get(m, 0)["i"])
-    return let(F.filter(tree.toks, lambda t: is_subject_of(tree, t, v) & ~Tree.has_morph(t, "PronType", "Rel")),
-               pick)
+    toks = F.transform(subject_candidates(tree, v, plural_nouns), lambda ci: tree.tok(ci))
+    return let(F.filter(toks, lambda t: is_subject_of(tree, t, v) & ~Tree.has_morph(t, "PronType", "Rel")), pick)
 
 
 # ----------------------------------------------------------------------------- L12, L13
@@ -80,8 +91,10 @@ def finite_verbs(tree: Tree, lo: Column, hi: Column) -> Column:
                & t["text"].endswith("d"), F.array(t["i"])).otherwise(F.array().cast("array<int>")))))
 
 
-def matrix_subject_and_verb(tree: Tree) -> Column:
+def matrix_subject_and_verb(tree: Tree, plural_nouns: Column | None = None) -> Column:
     """``struct<verb INT, subj INT>`` (NULLs when undetermined)."""
+    if plural_nouns is None:
+        plural_nouns = plural_noun_subjects(tree)
     toks, n = tree.toks, tree.n
     root = tree.root()
     commas = F.filter(toks, lambda t: (t["i"] >= 1) & (t["i"] <= n - 2) & (t["pos"] == "PUNCT") & (t["text"] == ","))
@@ -104,7 +117,7 @@ def matrix_subject_and_verb(tree: Tree) -> Column:
         no_cc = lambda x: ~F.coalesce(x["cc_child"], F.lit(False))
         override = ((v["dep"] == "conj") & no_cc(v)) | (F.coalesce(h["dep"] == "conj", F.lit(False)) & no_cc(h))
         drop = (tree.lang == "french") & F.lower(v["text"]).isin(*vocab.french_il_drop_verbs)
-        return F.struct(vi.alias("v"), ok.alias("ok"), subject_of(tree, v).alias("cs"),
+        return F.struct(vi.alias("v"), ok.alias("ok"), subject_of(tree, v, plural_nouns).alias("cs"),
                         F.coalesce(override, F.lit(False)).alias("override"),
                         F.coalesce(drop, F.lit(False)).alias("drop"))
 
@@ -420,13 +433,13 @@ def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str,
     root = tr.root()
     sent_facts = F.struct(F.coalesce(Tree.has_morph(root, "Tense", "Pres"), F.lit(False)).alias("root_pres"),
                           F.exists(tc, lambda t: Tree.has_morph(t, "Tense", "Past")).alias("any_past"),
-                          root["i"].alias("root_i"))
+                          root["i"].alias("root_i"), plural_noun_subjects(tr).alias("plural_nouns"))
     steps += [
         ("_facts", sent_facts),
         (tokens_col, let(F.col("_facts"), lambda f: enrich_tokens_2(tree(), f["root_pres"], f["any_past"]))),
         ("ends_with_question_mark", T.ends_with_question_mark(text)),
         ("_exclamative", text.endswith("!")),
-        ("_matrix", matrix_subject_and_verb(tree())),
+        ("_matrix", matrix_subject_and_verb(tree(), F.col("_facts.plural_nouns"))),
         ("matrix_verb", F.col("_matrix.verb")),
         ("matrix_subject", F.col("_matrix.subj")),
         ("subj_verb_inversion", inversion(tree(), text, F.col("matrix_verb"), F.col("matrix_subject"))),
@@ -437,7 +450,7 @@ def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str,
     ctx = F.struct(F.col("_facts.root_i").alias("root_i"), is_q.alias("is_q"),
                    F.col("matrix_verb").alias("mv"), F.col("ends_with_question_mark").alias("qm"),
                    F.col("_exclamative").alias("excl"), F.exists(tc, lambda t: t["pqw"]).alias("has_qw"),
-                   plural_noun_subjects(tree()).alias("plural_nouns"))
+                   F.col("_facts.plural_nouns").alias("plural_nouns"))
     steps.append(("_ctx", ctx))
 
     def word_facts(c):
