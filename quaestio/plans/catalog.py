@@ -274,3 +274,67 @@ def q_sentence_analysis(spark, sf_dir):
     out = rules.classify_sentences(a)
     return out.select("id", "language", "matrix_verb", "matrix_subject", "subj_verb_inversion", "has_tag_question",
                       "ends_with_question_mark", "structure", "use")
+
+
+# ---------------------------------------------------------------- gold-line parsing with a DuckDB twin
+
+def _standin_gold_lines(candidates):
+    """Stand-in tagged lines: the first word of each candidate gets a tag, every third
+    line an extra tag with no word before it, then a structure and a comment."""
+    text = F.regexp_replace(F.col("text"), "[\r\n]", " ")
+    tagged = F.regexp_replace(text, r"^([\p{L}\p{N}_]+)", "$1[probe]")
+    extra = F.when(F.length(text) % 3 == 0, F.lit(" [late]")).otherwise(F.lit(""))
+    return candidates.select("id", "language", F.concat(tagged, extra, F.lit(" | polar // note "), F.col("id"))
+                             .alias("line"))
+
+
+@register("e2_e3_gold_line_parsing", O.with_questions(r"""
+, lines AS (
+  SELECT qid AS id, language,
+         regexp_replace(replace(replace(qtext, chr(13), ' '), chr(10), ' '), '^([\p{L}\p{N}_]+)', '\1[probe]')
+           || CASE WHEN length(replace(replace(qtext, chr(13), ' '), chr(10), ' ')) % 3 = 0 THEN ' [late]' ELSE '' END
+           || ' | polar // note ' || qid AS line
+  FROM questions
+), gsplit AS (
+  SELECT id, language, line,
+         CASE WHEN regexp_matches(line, '^(.*?)(^|[^:])//(.*)$')
+              THEN regexp_extract(line, '^(.*?)(^|[^:])//(.*)$', 1) || regexp_extract(line, '^(.*?)(^|[^:])//(.*)$', 2)
+              ELSE line END AS body,
+         CASE WHEN regexp_matches(line, '^(.*?)(^|[^:])//(.*)$')
+              THEN """ + O.strip_sql("regexp_extract(line, '^(.*?)(^|[^:])//(.*)$', 3)") + r""" END AS comment
+  FROM lines
+), cleaned AS (
+  SELECT id, language, comment, """ + O.clean_sql(O.strip_sql("body"), "language") + r""" AS c FROM gsplit
+), gparts AS (
+  SELECT id, language, comment,
+         CASE WHEN strpos(c, '|') > 0 THEN """ + O.strip_sql("substr(c, 1, strpos(c, '|') - 1)") + r""" ELSE c END AS sentence,
+         CASE WHEN strpos(c, '|') > 0 THEN """ + O.strip_sql("substr(c, strpos(c, '|') + 1)") + r""" END AS gold_structure
+  FROM cleaned
+), tagparts AS (
+  SELECT id, regexp_split_to_array(sentence, '\[[\p{L}\p{N}_]+\]') AS ps,
+         regexp_extract_all(sentence, '\[([\p{L}\p{N}_]+)\]', 1) AS names
+  FROM gparts
+), per_tag AS (
+  SELECT id, k, names[k] AS tag, ps[k] AS part,
+         regexp_extract(ps[k], '([\p{L}\p{N}_][\p{L}\p{N}_'']*)$', 1) AS token
+  FROM (SELECT id, ps, names, unnest(range(1, len(names) + 1)) AS k FROM tagparts)
+), located AS (
+  SELECT id, k, tag, token,
+         coalesce(sum(length(part)) OVER w, 0)
+           + coalesce(sum(CASE WHEN token = '' THEN length(tag) + 2 ELSE 0 END) OVER w, 0)
+           + length(part) - length(token) AS start
+  FROM per_tag
+  WINDOW w AS (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), tag_text AS (
+  SELECT id, string_agg(CAST(start AS VARCHAR) || ':' || tag, '|' ORDER BY k) AS tags
+  FROM located WHERE token <> '' GROUP BY id
+)
+SELECT p.id, p.language, regexp_replace(p.sentence, '\[[\p{L}\p{N}_]+\]', '', 'g') AS text,
+       p.gold_structure, p.comment, coalesce(t.tags, '') AS tags
+FROM gparts p LEFT JOIN tag_text t ON p.id = t.id"""))
+def q_gold_line_parsing(spark, sf_dir):
+    lines = _standin_gold_lines(jobs.question_candidates(spark, sf_dir))
+    g = evaluate.parse_gold(lines)
+    return g.select("id", "language", "text", "gold_structure", "comment",
+                    F.array_join(F.transform("gold_tags", lambda x: F.concat(x["start"].cast("string"), F.lit(":"),
+                                                                               x["tag"])), "|").alias("tags"))
