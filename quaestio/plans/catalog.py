@@ -338,3 +338,12 @@ def q_gold_line_parsing(spark, sf_dir):
     return g.select("id", "language", "text", "gold_structure", "comment",
                     F.array_join(F.transform("gold_tags", lambda x: F.concat(x["start"].cast("string"), F.lit(":"),
                                                                                x["tag"])), "|").alias("tags"))
+
+
+@register("p25_language_codes", """
+SELECT doc_id, lang, CASE lang WHEN 'nl' THEN 'dutch' WHEN 'fr' THEN 'french' WHEN 'it' THEN 'italian'
+                               WHEN 'en' THEN 'english' END AS language
+FROM documents""")
+def q_language_codes(spark, sf_dir):
+    d = testdata.table(spark, sf_dir, "documents")
+    return d.select("doc_id", "lang", T.language_of_code(F.col("lang")).alias("language"))
