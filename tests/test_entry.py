@@ -19,7 +19,6 @@ def test_registry():
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert len(q) >= 20
-    assert not any("pipeline" in k or k.startswith("op") for k in q)
 
 
 @pytest.fixture(scope="module")
