@@ -76,17 +76,17 @@ def probe_keys(line: Column, max_edits: int) -> Column:
             start, length = _segment(m, i, k)
             left, right = i, max_edits - i
             for shift in range(max(-left, less - right), min(left, less + right) + 1):
-                at = start + shift
-                fits = (at >= 1) & (at + length - 1 <= n)
-                out.append(F.when(fits, _key(line, m, i, at, length)))
-    return F.array_compact(F.array(*out))
+                out.append(_key(line, m, i, start + shift, length))
+    return F.array(*out)
 
 
 def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
     """True if the two texts are within ``max_edits`` edits, by a banded bit-parallel
     pass. Bit x of a word stands for row j - max_edits + x of column j, so vertical and
     horizontal differences of the band fit 2 * max_edits + 1 bits; the shift down the
-    diagonal is the shift of the words by one. Equal ends are cut off first."""
+    diagonal is the shift of the words by one. The score is that of the band's lowest row,
+    which is at most 2 * max_edits above the best of the band: beyond 3 * max_edits the
+    rest is skipped. Equal ends are cut off first."""
     k, width = max_edits, 2 * max_edits + 1
     mask = (1 << width) - 1
 
@@ -111,6 +111,9 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
         m = F.size(p)
 
         def step(acc, j):
+            return F.when(acc["score"] > 3 * k, acc).otherwise(column(acc, j))
+
+        def column(acc, j):
             c = F.get(t, j - 1)
             eq = F.lit(0).cast("long")
             for x in range(width):
@@ -162,6 +165,8 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
 def dropped_lines(docs: DataFrame, max_edits: int = 2, min_chars: int = 32) -> DataFrame:
     """row_id, row_hash, pos and the place (doc, line number) of the earliest matching
     line, for every line that goes."""
+    if min_chars < (max_edits + 1) * max(max_edits, 1):
+        raise ValueError("min_chars must leave segments of at least max_edits characters")
     lines = _lines(docs)
     rows = stored(lines.select("row_id", "row_hash", "pos", *_id(F.col("line"))), "line-places")
     place = F.struct("row_id", "pos")
