@@ -90,7 +90,7 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         lengths.append(n + 1)
     one = np.concatenate(parts)
     two = one * _B
-    two[0] += _END * _A
+    two[:1] += np.array([_END]) * _A
     two[1:] += one[:-1] * _A
     return one, mix(two) & ~np.uint64(1), np.concatenate(lengths)
 

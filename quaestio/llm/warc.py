@@ -292,7 +292,7 @@ WITH p AS (
   SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (
   SELECT page_id, payload_bytes, hex,
-    list_aggregate(list_transform(range(32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
       CAST((CAST('0x' || substr(hex, CAST(10 * (i // 8) + 1 AS INTEGER), 10) AS BIGINT) >> CAST(5 * (7 - i % 8) AS INTEGER)) & 31 AS INTEGER) + 1, 1)), 'string_agg', '') AS payload_digest
   FROM p),
 f AS (SELECT hex, min(page_id) AS first FROM d GROUP BY hex)
