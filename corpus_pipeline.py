@@ -24,7 +24,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     goes only if it had lines with words and all of them went (every line of it stands
     in earlier documents)."""
     done = line_dedup.dedup(docs)
-    done = done.filter((F.col("n_left") > 0) | (F.col("n_dropped") == 0))
+    done = done.filter(~F.col("emptied"))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long"))
                                .otherwise(F.col("n_chars")))

@@ -39,7 +39,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: the text of the lines that stay (none equal to or within 2 edits of
     an earlier line of the corpus), the lines it had and the lines that went."""
     return (line_dedup.dedup(table(spark, sf_dir, "documents"))
-            .select("doc_id", "n_lines", "n_dropped", "n_left", "text"))
+            .select("doc_id", "n_lines", "n_dropped", "text"))
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def test_against_brute_force(spark, k, least, seed):
     rows = corpus(seed)
     rows += [rows[3], (None, rows[5][1], None, None), (7, "other text\n" + rows[8][1], None, None), (900, None, None, None)]
     got = L.dedup(spark.createDataFrame(rows, SCHEMA), k, least)
-    assert set(got.columns) == {"doc_id", "text", "lang", "row_id", "n_lines", "n_dropped", "n_left"}
+    assert set(got.columns) == {"doc_id", "text", "lang", "row_id", "n_lines", "n_dropped", "emptied"}
     got = got.collect()
     want = brute(rows, k, least)
     assert len(got) == len(rows)
@@ -83,7 +83,7 @@ def test_empty_table(spark):
 def test_long_line(spark):
     line = "ab " * 20_000
     rows = [(1, line, None, None), (2, line[:30_000] + "x" + line[30_000:], None, None), (3, line + "wxyz", None, None)]
-    got = {r.doc_id: r.n_left for r in L.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    got = {r.doc_id: int(not r.emptied) for r in L.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {1: 1, 2: 0, 3: 1}
 
 
