@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from quaestio.llm.shared import small, stored
 
 #: Letters counted in every line; lines that meet are only compared if the counts allow it.
-LETTERS = "eanrtioh"
+LETTERS = "eanrtiohsldcu ,."
 HAS_WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -165,19 +165,19 @@ def edit_distance_within(a: Column, b: Column, max_edits: int) -> Column:
 
 
 def _letters(line: Column) -> Column:
-    """How often some frequent letters stand in a line (modulo 256 each), as one number.
+    """How often some frequent letters stand in a line (modulo 16 each), as one number.
     An edit changes these counts by 2 in all at most."""
     def count(i: int, x: str) -> Column:
         n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(x), F.lit("")))
-        return F.shiftleft(n.cast("long").bitwiseAND(F.lit(255)), 8 * i)
+        return F.shiftleft(n.cast("long").bitwiseAND(F.lit(15)), 4 * i)
     return reduce(lambda x, y: x.bitwiseOR(y), [count(i, x) for i, x in enumerate(LETTERS)])
 
 
 def _letters_apart(a: Column, b: Column) -> Column:
     """A lower bound of the difference of two such counts."""
     def one(i: int) -> Column:
-        d = F.abs(F.shiftright(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftright(b, 8 * i).bitwiseAND(F.lit(255)))
-        return F.least(d, 256 - d)
+        d = F.abs(F.shiftright(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b, 4 * i).bitwiseAND(F.lit(15)))
+        return F.least(d, 16 - d)
     return reduce(lambda x, y: x + y, [one(i) for i in range(len(LETTERS))])
 
 
@@ -197,10 +197,10 @@ def _by_row(places: DataFrame, name: str) -> DataFrame:
 def _near(docs: DataFrame, again: DataFrame, distinct: DataFrame, max_edits: int, min_chars: int) -> DataFrame:
     """(h1, h2) of the distinct lines with an earlier line within ``max_edits`` edits."""
     # every distinct line once: where it stands first
-    parts = F.filter(F.split("text", "\n"), lambda x, i: (F.length(x) >= min_chars) & x.rlike(HAS_WORD)
-                     & F.when(F.col("_pos").isNull(), F.lit(True)).otherwise(~F.array_contains(F.col("_pos"), i)))
+    first = F.coalesce(~F.array_contains("_pos", F.col("pos")), F.lit(True))
     line = F.col("line")
-    keys = (_at_places(docs.select("doc_id", "text"), again).select(F.explode(parts).alias("line"))
+    keys = (_at_places(docs.select("doc_id", "text"), again).select("_pos", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+            .filter((F.length(line) >= min_chars) & first & line.rlike(HAS_WORD))
             .select(F.xxhash64(line).alias("id"), _letters(line).alias("letters"),
                     segment_keys(line, max_edits).alias("own"), probe_keys(line, max_edits).alias("others")))
     keys = stored(keys, "line-keys")
