@@ -12,9 +12,10 @@ sets are one node. Nodes link when 100 * |intersection| >= 90 * |union|.
   test on shingles in hash order leaves out nodes that cannot have a partner: with l more
   places in the prefix, linked nodes share l of them, so a node with fewer shared ones
   has no link. Only the other nodes' sets are built in full and ranked by frequency.
-  Lists are worked off in two steps: every node against its list's first node; then, of
-  what is not yet one component, the remaining pairs of a list. A large group of near
-  copies thus costs a star, not all of its pairs; a component never misses a link.
+  Lists are worked off in stars, every node against one node of its list, in a few
+  rounds while lists hold many pairs of different components; then, of what is not yet
+  one component, the remaining pairs of a list. A large group of near copies thus costs
+  a few stars, not all of its pairs; a component never misses a link.
 * The boundary minimises the rows to enumerate plus the postings to list and verify,
   from the counts of nodes and the mean list lengths by size.
 
@@ -45,6 +46,8 @@ from quaestio.llm.words import mix, slices, texts, word_hashes
 MOST_LIGHT = 24
 #: Sketch entries or set members that a block holds on average.
 BLOCK_KEYS = 400_000
+#: Rounds of stars at most, before what lists still hold is compared in pairs.
+TURNS = 3
 _MULTIPLIERS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
@@ -60,7 +63,7 @@ def must_share(n: int) -> int:
 
 def extra(n: int) -> int:
     """Places added to the prefix in hash order, and the shared shingles asked for."""
-    return max(1, n // 20)
+    return max(1, n // 8)
 
 
 def sketch_size(n: int) -> int:
@@ -170,8 +173,13 @@ def _live(table: pa.Table, answered: pa.Table) -> pa.Table:
     return pa.table({"node": pa.array(out, pa.int64())})
 
 
+#: A posting: the node's size, the token's place among its members (rarest first), and the
+#: node's shape: how many members have each value of their upper 4 bits, modulo 16.
+POSTING = ("token", "node", "n", "place", "shape")
+
+
 def _postings(table: pa.Table, answered: pa.Table) -> pa.Table:
-    out: list[list[np.ndarray]] = [[], [], []]
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
     if len(table):
         flat, total, lengths = _known(table, answered, "members")
         at = 0
@@ -179,11 +187,14 @@ def _postings(table: pa.Table, answered: pa.Table) -> pa.Table:
             own, often = flat[at:at + n], total[at:at + n]
             at += n
             rare = np.lexsort((own, often))[:n - must_share(n) + 1]
-            rare = rare[often[rare] > 1]
-            out[0].append(own[rare].view(np.int64))
-            out[1].append(np.full(len(rare), node, np.int64))
-            out[2].append(np.full(len(rare), n, np.int64))
-    return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(("token", "node", "n"), out)})
+            place = np.flatnonzero(often[rare] > 1)
+            rare = rare[place]
+            shape = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=16) & 15
+            shape = int((shape.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+            for x, v in zip(out, (own[rare].view(np.int64), np.full(len(rare), node), np.full(len(rare), n), place,
+                                  np.full(len(rare), shape, np.int64))):
+                x.append(v)
+    return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(POSTING, out)})
 
 
 def _full_sets(width: int):
@@ -213,8 +224,20 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _fits(a, b):
-    """Sizes of sets that can link."""
-    return (10 * F.least(a, b) >= 9 * F.greatest(a, b))
+    """Whether the nodes of two postings of a token can link, if it is the first they
+    share: by size, by the members left behind it, and by how far their shapes are apart."""
+    least = F.ceil(90 * (a["n"] + b["n"]) / 190)
+    behind = F.least(a["n"] - a["place"], b["n"] - b["place"])  # the token itself included
+    apart = F.lit(0)
+    for i in range(16):
+        d = F.abs(F.shiftright(a["shape"], 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b["shape"], 4 * i).bitwiseAND(F.lit(15)))
+        apart = apart + F.least(d, 16 - d)
+    return ((10 * F.least(a["n"], b["n"]) >= 9 * F.greatest(a["n"], b["n"])) & (behind >= least)
+            & (apart <= a["n"] + b["n"] - 2 * least))
+
+
+def _posting(prefix: str = "") -> dict:
+    return {c: F.col(prefix + c) for c in ("n", "place", "shape")}
 
 
 def boundary(nodes: DataFrame) -> int:
@@ -239,7 +262,7 @@ def boundary(nodes: DataFrame) -> int:
 def _large_links(docs: DataFrame, nodes: DataFrame, light: int, width: int) -> tuple[DataFrame, DataFrame] | None:
     """(postings, sets) of the heavy nodes that can have a partner."""
     heavy = nodes.filter(F.col("n_shingles") >= must_share(light + 1))
-    keep = F.when(F.col("n_shingles") <= MOST_LIGHT, F.expr("substring(sketch, 1, 8 * cast(n_shingles - ceil(9 * n_shingles / 10) + greatest(1, floor(n_shingles / 20)) as int))")).otherwise(F.col("sketch"))
+    keep = F.when(F.col("n_shingles") <= MOST_LIGHT, F.expr("substring(sketch, 1, 8 * cast(n_shingles - ceil(9 * n_shingles / 10) + greatest(1, floor(n_shingles / 8)) as int))")).otherwise(F.col("sketch"))
     size = heavy.agg(F.sum(F.octet_length("sketch"))).first()[0] or 0
     if not size:
         return None
@@ -260,7 +283,7 @@ def _large_links(docs: DataFrame, nodes: DataFrame, light: int, width: int) -> t
     dealt = sets.withColumn("block", F.pmod("node", F.lit(blocks)))
     asked = dealt.groupBy("block").applyInArrow(_ask(C.n_ranges(size), "members"), C.FIELDS)
     answered = C.totals(asked).filter("block >= 0")
-    postings = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_postings, "token long, node long, n long")
+    postings = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_postings, ", ".join(f"{c} long" for c in POSTING))
     return stored(postings, "postings"), sets
 
 
@@ -283,21 +306,35 @@ def classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
     if found is None:
         return rows, components(links)
     postings, sets = found
-    first = postings.groupBy("token").agg(F.min(F.struct("node", "n")).alias("f"))
-    star = (postings.join(first, "token").filter(F.col("node") != F.col("f.node")).filter(_fits(F.col("n"), F.col("f.n")))
-            .select(F.col("node").alias("u"), F.col("f.node").alias("v")).distinct())
-    links = links.union(stored(_verified(star, sets), "links-star"))
-    roots = stored(components(links), "roots")
-    named = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = stored(named, "postings-named")
-    open_ = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("token")
-    left = named.join(open_, "token")
-    a, b = (left.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "root")]) for s in "ab")
-    rest = (a.join(b, "token").filter((F.col("node_a") > F.col("node_b")) & (F.col("root_a") != F.col("root_b")))
-            .filter(_fits(F.col("n_a"), F.col("n_b")))
-            .select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
-            .join(star, ["u", "v"], "left_anti"))
-    more = stored(_verified(rest, sets), "links-rest")
+    tested = None
+    for turn in range(TURNS):
+        # every node against one node of its list, another one for each list and turn, unless they are one component already
+        named = postings if tested is None else left
+        pick = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("h"), "node", "n", "place", "shape", "root"))
+        if tested is None:
+            named = named.withColumn("root", F.col("node"))
+        star = named.join(named.groupBy("token").agg(pick.alias("f")), "token").filter(F.col("root") != F.col("f.root"))
+        star = (star.filter(_fits(_posting(), _posting("f.")))
+                .select(F.greatest("node", "f.node").alias("u"), F.least("node", "f.node").alias("v")).distinct())
+        star = stored(star if tested is None else star.join(tested, ["u", "v"], "left_anti"), "pairs-star")
+        tested = star if tested is None else tested.union(star)
+        roots = stored(components(links.union(stored(_verified(star, sets), "links-star"))), "roots")
+        links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+        named = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_ = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("token")
+        left = stored(named.join(open_, "token"), "postings-open")
+        # the pairs of different components that lists still hold, against the postings
+        per = left.groupBy("token", "root").agg(F.count("*").cast("double").alias("c"))
+        per = per.groupBy("token").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.sum("c").alias("c"))
+        pairs, c = per.agg(F.sum("pairs"), F.sum("c")).first()
+        if (pairs or 0) <= 16 * (c or 0):
+            break
+    a, b = (left.select(F.col("token").alias(f"{s}_token"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "shape", "root")])
+            for s in "ab")
+    meet = ((F.col("a_token") == F.col("b_token")) & (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
+            & _fits(_posting("a_"), _posting("b_")))
+    rest = a.join(b, meet).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
+    more = stored(_verified(rest.join(tested, ["u", "v"], "left_anti"), sets), "links-rest")
     whole = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
     return rows, stored(components(whole), "roots-all")
 
