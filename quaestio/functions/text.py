@@ -20,10 +20,11 @@ def py_strip(c: Column) -> Column:
 
 
 def parse_date(c: Column) -> Column:
-    """``yyyy-MM-dd HH:mm:ss``, else ``yyyy-MM-dd``, else NULL; keep the date part."""
+    """``yyyy-MM-dd HH:mm:ss``, else ``yyyy-MM-dd``, else NULL; keep the date part.
+    Months, days and times of one digit are fine."""
     return F.coalesce(
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(c, F.lit("yyyy-MM-dd")),
+        F.try_to_timestamp(c, F.lit("yyyy-M-d H:m:s")),
+        F.try_to_timestamp(c, F.lit("yyyy-M-d")),
     ).cast("date")
 
 
@@ -116,6 +117,11 @@ def join_words(arr: Column) -> Column:
     return F.array_join(arr, "|")
 
 
+def one_line(c: Column) -> Column:
+    """Line breaks as spaces, so that a text is one line of a sheet."""
+    return F.regexp_replace(c, "[\r\n]+", " ")
+
+
 def render_tagged_line(tokens: Column, structure: Column) -> Column:
     """``word[tag]`` after every tagged token (any non-NULL tag), plus `` | structure``.
 
@@ -132,7 +138,7 @@ def render_tagged_line(tokens: Column, structure: Column) -> Column:
             F.when(k < n - 1, t["ws"]).otherwise(F.lit("")),
         ),
     )
-    return F.concat(F.array_join(pieces, ""), F.lit(" | "), F.coalesce(structure, F.lit("None")))
+    return one_line(F.concat(F.array_join(pieces, ""), F.lit(" | "), F.coalesce(structure, F.lit("None"))))
 
 
 def tag_summary(tokens: Column) -> Column:

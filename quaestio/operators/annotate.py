@@ -17,9 +17,11 @@ text is parsed again on its own.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
@@ -65,10 +67,12 @@ def annotate_with_expression(df: DataFrame, parse: Callable[[Column, Column], Co
 def annotate_with_lookup(df: DataFrame, parses: DataFrame, text_col: str = "text",
                          language_col: str = "language") -> DataFrame:
     """L0 from a parse table ``(language, text, parse)``, then G4 (a second lookup of the
-    last sentence's text when needed). Texts without a parse are dropped (inner join)."""
-    table = parses.select(F.col("language").alias("_pl"), F.col("text").alias("_pt"), F.col("parse").alias("_parse"))
-    joined = df.join(table, (F.col(language_col) == F.col("_pl")) & (F.col(text_col) == F.col("_pt"))).drop("_pl", "_pt")
-    multi = F.size(F.col("_parse")) > 1
+    last sentence's text when needed). A key with several parses counts once; a text
+    without a parse keeps its row, with NULL tokens."""
+    table = (parses.select(F.col("language").alias("_pl"), F.col("text").alias("_pt"), F.col("parse").alias("_parse"))
+             .dropDuplicates(["_pl", "_pt"]))
+    joined = df.join(table, (F.col(language_col) == F.col("_pl")) & (F.col(text_col) == F.col("_pt")), "left").drop("_pl", "_pt")
+    multi = F.coalesce(F.size(F.col("_parse")) > 1, F.lit(False))
     last = F.try_element_at(F.col("_parse"), F.lit(-1))
     staged = (joined.withColumn("_multi", multi)
               .withColumn("_shift", F.when(multi, F.get(last, 0)["idx"]).otherwise(F.lit(0)))
@@ -81,7 +85,6 @@ def annotate_with_lookup(df: DataFrame, parses: DataFrame, text_col: str = "text
     cond = F.col("_multi") & (F.col(language_col) == F.col("_rl")) & (F.col(text_col) == F.col("_rt"))
     return (staged.join(again, cond, "left")
             .withColumn("tokens", F.when(F.col("_multi"), F.col("_reparsed")).otherwise(F.col("_last")))
-            .filter(F.col("tokens").isNotNull())
             .drop("_multi", "_shift", "_last", "_parse", "_rl", "_rt", "_reparsed"))
 
 
@@ -94,15 +97,18 @@ class ParseProvider:
 
 
 def annotate_with_python(df: DataFrame, provider_factory: Callable[[], ParseProvider],
-                         text_col: str = "text", language_col: str = "language") -> DataFrame:
+                         text_col: str = "text", language_col: str = "language",
+                         provider_key: str | None = None) -> DataFrame:
     """L0 through ``mapInPandas``: the provider is built once per worker process and
     called once per (batch, language); G4 runs in the same pass (it needs the provider
-    again for the re-parse)."""
+    again for the re-parse). Workers tell providers apart by ``provider_key``, by default
+    a hash of the pickled factory, so two factories never share an instance."""
+    key = provider_key or hashlib.sha256(cloudpickle.dumps(provider_factory)).hexdigest()
     out_schema = ST.StructType(list(df.schema.fields) + [ST.StructField("tokens", TOKENS_TYPE)])
     has_offset = "offset" in df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        provider = _worker_provider(provider_factory)
+        provider = _worker_provider(key, provider_factory)
         for pdf in batches:
             tokens = [None] * len(pdf)
             texts = pdf[text_col].tolist()
@@ -135,45 +141,14 @@ def annotate_with_python(df: DataFrame, provider_factory: Callable[[], ParseProv
     return df.mapInPandas(run, out_schema)
 
 
-_PROVIDERS: dict[int, ParseProvider] = {}
+#: Providers built in this worker, by the key of their factory; the oldest goes first.
+_PROVIDERS: dict[str, ParseProvider] = {}
+KEPT_PROVIDERS = 4
 
 
-def _worker_provider(factory: Callable[[], ParseProvider]) -> ParseProvider:
-    key = id(factory)
+def _worker_provider(key: str, factory: Callable[[], ParseProvider]) -> ParseProvider:
     if key not in _PROVIDERS:
+        while len(_PROVIDERS) >= KEPT_PROVIDERS:
+            del _PROVIDERS[next(iter(_PROVIDERS))]
         _PROVIDERS[key] = factory()
     return _PROVIDERS[key]
-
-
-class SpacyProvider(ParseProvider):
-    """Statistical parses from spaCy when it is installed (it is optional; not bundled)."""
-
-    MODELS = {"english": "en_core_web_sm", "french": "fr_core_news_sm", "italian": "it_core_news_sm",
-              "dutch": "nl_core_news_sm"}
-
-    def __init__(self, models: dict[str, str] | None = None):
-        try:
-            import spacy  # noqa: F401
-        except ImportError as exc:  # pragma: no cover - depends on the environment
-            raise RuntimeError("spaCy is not installed; use a lookup or expression annotator") from exc
-        self.models = models or self.MODELS
-        self._nlp = {}
-
-    def parse(self, texts, language):  # pragma: no cover - needs spaCy models
-        import spacy
-        if language not in self._nlp:
-            self._nlp[language] = spacy.load(self.models[language], disable=["ner"])
-        out = []
-        for doc in self._nlp[language].pipe(texts):
-            sents = []
-            for s in doc.sents:
-                toks = []
-                for t in s:
-                    morph = {k: v.split(",") for k, v in (kv.split("=") for kv in str(t.morph).split("|") if kv)}
-                    toks.append({"i": t.i - s.start, "idx": t.idx, "text": t.text, "ws": t.whitespace_,
-                                 "lemma": t.lemma_, "pos": t.pos_,
-                                 "dep": t.dep_, "head": t.head.i - s.start,
-                                 "morph": morph})
-                sents.append(toks)
-            out.append(sents)
-        return out

@@ -74,7 +74,7 @@ def split_line(line: Column, language: Column) -> Column:
     """``struct<sentence, structure, comment>``. The comment starts at the first ``//``
     not preceded by ``:`` (so URLs stay in the sentence, Q14); the sentence is cleaned
     with the section language (Q13) and then split at the first ``|``."""
-    pattern = r"^(.*?)(?<!:)//(.*)$"
+    pattern = r"(?s)^(.*?)(?<!:)//(.*)$"
     has_comment = line.rlike(pattern)
     body = F.when(has_comment, F.regexp_extract(line, pattern, 1)).otherwise(line)
     comment = F.when(has_comment, T.py_strip(F.regexp_extract(line, pattern, 2)))
@@ -130,12 +130,15 @@ def parse_gold(lines: DataFrame) -> DataFrame:
 def score(classified: DataFrame) -> DataFrame:
     """E4 per line: a tag error for every token whose predicted tag differs from the gold
     tag at its start offset (missing = NULL), plus a structure error when a non-empty
-    gold structure differs from the predicted one."""
+    gold structure differs from the predicted one. A line without a parse is ``unparsed``
+    and has every gold tag and a non-empty gold structure as errors."""
     tok_gold = lambda t: F.get(F.filter("gold_tags", lambda g: g["start"] == t["idx"]), 0)["tag"]
-    tag_errors = F.size(F.filter("tokens", lambda t: ~t["qtype"].eqNullSafe(tok_gold(t))))
+    unparsed = F.col("tokens").isNull()
+    tag_errors = F.when(unparsed, F.size("gold_tags")).otherwise(
+        F.size(F.filter("tokens", lambda t: ~t["qtype"].eqNullSafe(tok_gold(t)))))
     gs = F.col("gold_structure")
-    structure_error = F.coalesce(gs.isNotNull() & (gs != "") & (gs != F.col("structure")), F.lit(False))
-    return (classified.withColumn("tag_errors", tag_errors.cast("int"))
+    structure_error = F.coalesce(gs.isNotNull() & (gs != "") & ~gs.eqNullSafe(F.col("structure")), F.lit(False))
+    return (classified.withColumn("unparsed", unparsed).withColumn("tag_errors", tag_errors.cast("int"))
             .withColumn("structure_error", structure_error)
             .withColumn("errors", F.col("tag_errors") + F.col("structure_error").cast("int")))
 
@@ -144,7 +147,7 @@ def total_errors(scored: DataFrame) -> DataFrame:
     """A17."""
     return scored.agg(F.sum("errors").alias("errors"), F.sum("tag_errors").alias("tag_errors"),
                       F.sum(F.col("structure_error").cast("int")).alias("structure_errors"),
-                      F.count(F.lit(1)).alias("lines"))
+                      F.sum(F.col("unparsed").cast("int")).alias("unparsed"), F.count(F.lit(1)).alias("lines"))
 
 
 def confusion(scored: DataFrame) -> DataFrame:

@@ -84,11 +84,6 @@ def distinct_datasets(df: DataFrame) -> DataFrame:
     return df.select("dataset").filter(F.col("dataset").isNotNull()).distinct()
 
 
-def distinct_texts(df: DataFrame, group_cols: list[str]) -> DataFrame:
-    """One row per (group, text)."""
-    return df.select(*group_cols, "text").dropDuplicates([*group_cols, "text"])
-
-
 def schema_listing(df: DataFrame) -> DataFrame:
     """The columns and their types as a DataFrame (from the plan, no job runs)."""
     spark = df.sparkSession

@@ -14,6 +14,7 @@ then only evaluates those two tag-dependent tests.
 from __future__ import annotations
 
 import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -407,7 +408,7 @@ def classify_sentences(df: DataFrame, tokens_col: str = "tokens", text_col: str
     try:
         app = df.sparkSession.sparkContext.applicationId
     except Exception:  # noqa: BLE001 - no SparkContext handle (Connect): build per call
-        app = str(id(df))
+        app = uuid.uuid4().hex
     out = df
     for name, column in _stage_columns(app, tokens_col, text_col, language_col, accept_upper_neg):
         out = out.withColumn(name, column)
@@ -511,8 +512,14 @@ def fence(df: DataFrame, passthrough: list[str], results: list[str]) -> DataFram
     return df.select(*passthrough, F.inline_outer(packed))
 
 
-def question_columns(tokens_col: str = "tokens"):
-    """L26 as (name, column) steps: structure, use, literal and functional question words."""
+#: Languages with a vocabulary; questions in others get no class.
+LANGUAGES = ("dutch", "english", "french", "italian")
+
+
+def question_columns(tokens_col: str = "tokens", language_col: str = "language"):
+    """L26 as (name, column) steps: structure, use, literal and functional question words.
+    Structure and use are NULL without a parse or in a language without vocabulary (Q3)."""
+    known = F.coalesce(F.col(tokens_col).isNotNull() & F.col(language_col).isin(*LANGUAGES), F.lit(False))
     tc = F.col(tokens_col)
     words = lambda tag: F.transform(F.filter(tc, lambda t: t["qtype"] == tag), lambda t: F.lower(t["text"]))
     fronted, insitu, indirect = words("fronted"), words("insitu"), words("indirect")
@@ -524,14 +531,15 @@ def question_columns(tokens_col: str = "tokens"):
                  .when(F.col("ends_with_question_mark"),
                        F.when(inv.isNull(), "elliptic").when(inv, "polar").otherwise("risingdecl"))
                  .otherwise("decl"))
-    use = (F.when(F.size(indirect) > 0, "indirect").when(F.col("structure") != "decl", "direct").otherwise("no"))
+    structure = F.when(known, structure)
+    use = (F.when(~known, F.lit(None).cast("string")).when(F.size(indirect) > 0, "indirect").when(F.col("structure") != "decl", "direct").otherwise("no"))
     return (("structure", structure), ("use", use), ("qwords_literal", literal),
             ("qwords_functional", F.when(F.size(indirect) > 0, indirect).otherwise(literal)))
 
 
-def classify_question(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
+def classify_question(df: DataFrame, tokens_col: str = "tokens", language_col: str = "language") -> DataFrame:
     """L26 on a frame whose tokens carry ``qtype``."""
-    for name, column in question_columns(tokens_col):
+    for name, column in question_columns(tokens_col, language_col):
         df = df.withColumn(name, column)
     return df
 

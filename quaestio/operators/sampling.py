@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quaestio.functions import text as T
 
 DEFAULT_SEED = "12345"
-MAX_CHARS = 70            # F5: keep texts shorter than this
+MAX_CHARS = 70            # F5: keep texts shorter than this, unless the caller says otherwise
 PER_CLASS = 20            # A14
 PER_FEATURE = 50          # A15
 SHEET_FEATURES = ["has_negation", "has_ref_to_other", "has_ref_to_group", "has_conjunction", "has_leveler"]
@@ -39,9 +39,9 @@ def sample_posts(posts: DataFrame, k: int = 10, flag: str = "has_disinfo_text_or
     return sample_per_group(base.select("dataset", "flag", "id", "full_text"), ["dataset", "flag"], k, "id", seed)
 
 
-def short_distinct_texts(questions: DataFrame, group_cols: list[str]) -> DataFrame:
-    """A12 + F5: distinct texts per group, shorter than 70 characters."""
-    return (questions.filter(F.length("text") < MAX_CHARS)
+def short_distinct_texts(questions: DataFrame, group_cols: list[str], max_chars: int = MAX_CHARS) -> DataFrame:
+    """A12 + F5: distinct texts per group, shorter than ``max_chars`` characters."""
+    return (questions.filter(F.length("text") < max_chars)
             .select(*group_cols, "text").dropDuplicates([*group_cols, "text"]))
 
 
@@ -53,28 +53,21 @@ def classification_sample(questions: DataFrame, k: int = PER_CLASS, seed: str =
 
 
 def feature_sample(questions: DataFrame, k: int = PER_FEATURE, features: list[str] = SHEET_FEATURES,
-                   seed: str = DEFAULT_SEED) -> DataFrame:
-    """Unpivot the five features, then up to k distinct short texts per
+                   seed: str = DEFAULT_SEED, max_chars: int = MAX_CHARS) -> DataFrame:
+    """Unpivot the five features of the distinct short texts, then up to k distinct short texts per
     (language, feature, value). NULL feature values are skipped (pandas groupby)."""
-    long = (questions.select("language", "text", *[F.col(f).cast("boolean") for f in features])
+    long = (questions.filter(F.length("text") < max_chars)
+            .select("language", "text", *[F.col(f).cast("boolean") for f in features]).distinct()
             .unpivot(["language", "text"], features, "feature", "value")
             .filter(F.col("value").isNotNull()))
-    base = short_distinct_texts(long, ["language", "feature", "value"])
+    base = short_distinct_texts(long, ["language", "feature", "value"], max_chars)
     return sample_per_group(base, ["language", "feature", "value"], k, "text", seed)
 
 
-def classification_sheet_lines(sample_with_tokens: DataFrame) -> DataFrame:
-    """S12 body: one rendered line (P30) per sampled question, keyed for ordering."""
-    return sample_with_tokens.select(
-        "language", F.lit("classification").alias("sheet"),
-        F.concat_ws("/", "structure", "use").alias("section"), "rank",
-        T.render_tagged_line(F.col("tokens"), F.col("structure")).alias("line"))
-
-
 def feature_sheet_lines(sample: DataFrame) -> DataFrame:
     """S13 body: section header per (feature, value) and one line per sampled text."""
     body = sample.select("language", F.replace(F.col("feature"), F.lit("_"), F.lit("-")).alias("sheet"),
-                         F.col("value").cast("string").alias("section"), "rank", F.col("text").alias("line"))
+                         F.col("value").cast("string").alias("section"), "rank", T.one_line(F.col("text")).alias("line"))
     headers = (sample.select("language", "feature", "value").distinct()
                .select("language", F.replace(F.col("feature"), F.lit("_"), F.lit("-")).alias("sheet"),
                        F.col("value").cast("string").alias("section"), F.lit(0).alias("rank"),

@@ -17,6 +17,7 @@ from quaestio.functions import text as T
 
 SENTENCE_END = r"""([.!?…]+["'”’)\]]*)([ \t\n]+)"""
 _MARK = "\u0001"
+SPLIT_BLOCK = 128
 
 KEEP_POST_KEYS = ["created_at", "favorite_count", "retweet_count", "dataset", "language"]
 
@@ -24,19 +25,29 @@ KEEP_POST_KEYS = ["created_at", "favorite_count", "retweet_count", "dataset", "l
 def split_sentences(text: Column) -> Column:
     """G1: ``array<struct<start INT, text STRING>>`` in text order.
 
-    One ``aggregate`` pass carries the running offset, so every piece is visited once.
+    The running offset is carried over blocks of SPLIT_BLOCK pieces: appending copies an
+    array, so pieces are appended to short arrays, which are joined at the end.
     """
     marked = F.regexp_replace(text, SENTENCE_END, "$1$2" + _MARK)
-    pieces = F.split(marked, _MARK)
     empty = F.array().cast("array<struct<start:int,text:string>>")
-    return F.aggregate(
-        pieces,
-        F.struct(empty.alias("out"), F.lit(0).alias("pos")),
-        lambda acc, s: F.struct(
+
+    def piece(acc, s):
+        return F.struct(
             F.array_append(acc["out"], F.struct(acc["pos"].alias("start"),
                                                 F.regexp_replace(s, "[ \t\n]+$", "").alias("text"))).alias("out"),
-            (acc["pos"] + F.length(s)).alias("pos")),
-        lambda acc: acc["out"])
+            (acc["pos"] + F.length(s)).alias("pos"))
+
+    def block(acc, b, pieces):
+        one = F.aggregate(F.slice(pieces, b * SPLIT_BLOCK + 1, F.lit(SPLIT_BLOCK)),
+                          F.struct(empty.alias("out"), acc["pos"].alias("pos")), piece)
+        return F.get(F.transform(F.array(one), lambda x: F.struct(
+            F.array_append(acc["out"], x["out"]).alias("out"), x["pos"].alias("pos"))), 0)
+
+    def blocks(pieces):
+        numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / SPLIT_BLOCK).cast("int"))
+        start = F.struct(F.array().cast("array<array<struct<start:int,text:string>>>").alias("out"), F.lit(0).alias("pos"))
+        return F.flatten(F.aggregate(numbers, start, lambda acc, b: block(acc, b, pieces), lambda acc: acc["out"]))
+    return F.when(text.isNotNull(), F.get(F.transform(F.array(F.split(marked, _MARK)), blocks), 0))
 
 
 def is_candidate(sentence_text: Column, language: Column) -> Column:

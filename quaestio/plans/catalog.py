@@ -27,6 +27,19 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _standin(df: DataFrame) -> DataFrame:
+    """The annotator of the queries over the driver tables, which hold no parses."""
+    from quaestio.operators import annotate
+    from quaestio.sources import testdata
+    return annotate.annotate_with_expression(df, testdata.standin_parse)
+
+
+def _standin_single(df: DataFrame) -> DataFrame:
+    """The same in single-sentence mode."""
+    from quaestio.sources import testdata
+    return df.withColumn("tokens", F.try_element_at(testdata.standin_parse_single(F.col("text"), F.col("language")), F.lit(1)))
+
+
 # ---------------------------------------------------------------- posts (3.1)
 
 @register("s1_p1_p3_typed_posts", O.with_posts("""
@@ -185,55 +198,55 @@ from quaestio.sources import testdata  # noqa: E402
 
 @register("l0_g4_annotated_candidates")
 def q_annotated(spark, sf_dir):
-    c = jobs.spread_for_cpu(jobs.question_candidates(spark, sf_dir))
+    c = jobs.question_candidates(spark, sf_dir)
     a = annotate.annotate_with_expression(c, testdata.standin_parse)
     return a.select("id", "language", "text", "offset", F.size("tokens").alias("num_tokens"))
 
 
 @register("l2_l28_f3_s8_questions")
 def q_questions(spark, sf_dir):
-    return jobs.questions(spark, sf_dir)
+    return jobs.questions(spark, sf_dir, _standin)
 
 
 @register("a7_questions_per_dataset")
 def q_questions_per_dataset(spark, sf_dir):
-    return profile.questions_per_dataset(jobs.questions(spark, sf_dir))
+    return profile.questions_per_dataset(jobs.questions(spark, sf_dir, _standin))
 
 
 @register("a8_question_feature_means")
 def q_feature_means(spark, sf_dir):
-    return profile.question_feature_means(jobs.questions(spark, sf_dir))
+    return profile.question_feature_means(jobs.questions(spark, sf_dir, _standin))
 
 
 @register("a9_structure_use_counts")
 def q_structure_use(spark, sf_dir):
-    return profile.structure_use_counts(jobs.questions(spark, sf_dir))
+    return profile.structure_use_counts(jobs.questions(spark, sf_dir, _standin))
 
 
 @register("a10_top_functional_qwords")
 def q_top_qwords(spark, sf_dir):
-    return profile.top_functional_qwords(jobs.questions(spark, sf_dir), 10)
+    return profile.top_functional_qwords(jobs.questions(spark, sf_dir, _standin), 10)
 
 
 @register("a14_p30_s12_classification_sheet")
 def q_classification_sheet(spark, sf_dir):
-    return jobs.classification_sheet(jobs.questions(spark, sf_dir, keep_tokens=True))
+    return jobs.classification_sheet(jobs.questions(spark, sf_dir, _standin, keep_tokens=True))
 
 
 @register("a15_s13_feature_sheet")
 def q_feature_sheet(spark, sf_dir):
-    return jobs.feature_sheet(jobs.questions(spark, sf_dir))
+    return jobs.feature_sheet(jobs.questions(spark, sf_dir, _standin))
 
 
 @register("e2_e4_roundtrip_scores")
 def q_roundtrip(spark, sf_dir):
-    s = jobs.roundtrip_scores(jobs.questions(spark, sf_dir, keep_tokens=True))
+    s = jobs.roundtrip_scores(jobs.questions(spark, sf_dir, _standin, keep_tokens=True), _standin_single)
     return s.select("id", "language", "text", "structure", "gold_structure", "tag_errors", "structure_error", "errors")
 
 
 @register("a17_total_errors")
 def q_total_errors(spark, sf_dir):
-    return evaluate.total_errors(jobs.roundtrip_scores(jobs.questions(spark, sf_dir, keep_tokens=True)))
+    return evaluate.total_errors(jobs.roundtrip_scores(jobs.questions(spark, sf_dir, _standin, keep_tokens=True), _standin_single))
 
 
 # ---------------------------------------------------------------- more sources
@@ -269,7 +282,7 @@ def q_event_histogram(spark, sf_dir):
 @register("l13_l15_sentence_analysis")
 def q_sentence_analysis(spark, sf_dir):
     from quaestio.operators import rules
-    c = jobs.spread_for_cpu(jobs.question_candidates(spark, sf_dir))
+    c = jobs.question_candidates(spark, sf_dir)
     a = annotate.annotate_with_expression(c, testdata.standin_parse)
     out = rules.classify_sentences(a)
     return out.select("id", "language", "matrix_verb", "matrix_subject", "subj_verb_inversion", "has_tag_question",

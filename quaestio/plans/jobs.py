@@ -16,21 +16,9 @@ from quaestio.sources import posts as P
 from quaestio.sources import testdata
 
 
-def spread_narrow_scan(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer tasks than the session has cores (a small
-    table in one file or row group); a large scan already has enough splits and is
-    left alone, so nothing is shuffled at scale."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - e.g. a Connect session exposes neither; keep the scan as is
-        return df
-    return df.repartition(cores) if splits < cores else df
-
-
 def analysed_posts_from_raw(raw: DataFrame, question_count_mode: str = "chars") -> DataFrame:
     """Raw post rows (text columns as scanned, with a ``dataset`` column) -> D2."""
-    typed = P.type_posts(spread_narrow_scan(raw))
+    typed = P.type_posts(raw)
     return post_features.flag_posts(P.normalise_posts(typed), question_count_mode)
 
 
@@ -45,31 +33,20 @@ def question_candidates(spark: SparkSession, sf_dir: str, include_post_text: boo
     return sentences.question_candidates(analysed_posts(spark, sf_dir), include_post_text)
 
 
-def spread_for_cpu(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over ``partitions`` tasks (default: the session's shuffle
-    partitions) before CPU-heavy per-row work. Input files map to tasks by size, not by
-    work: one file of long posts can be one task. An explicit count is kept by AQE, and
-    Spark sorts before a round-robin exchange so a retried task gets the same rows."""
-    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n)
-
-
-def classify_questions(candidates: DataFrame, annotator=None, keep_tokens: bool = False,
+def classify_questions(candidates: DataFrame, annotator, keep_tokens: bool = False,
                        remove_nonquestions: bool = True) -> DataFrame:
     """Candidates -> questions (3.2): L0 + G4, the keyword features on the (possibly
     shortened) text, P12, L2-L26, P29, then F3 and the S8 column order.
 
     ``annotator`` maps a DataFrame with ``text, language`` to the same rows with a
-    ``tokens`` column (see :mod:`quaestio.operators.annotate`); by default the stand-in
-    parse of :mod:`quaestio.sources.testdata` is used.
+    ``tokens`` column (see :mod:`quaestio.operators.annotate`). Questions without a parse
+    or in a language without vocabulary have NULL structure and use, and stay.
     """
     from pyspark.sql import functions as F
 
     from quaestio.functions import text as T
-    from quaestio.operators import annotate, rules, sentences
-    if annotator is None:
-        annotator = lambda df: annotate.annotate_with_expression(df, testdata.standin_parse)
-    parsed = annotator(spread_for_cpu(candidates))
+    from quaestio.operators import rules, sentences
+    parsed = annotator(candidates)
     feats = post_features.flag_question_text(parsed)
     classified = rules.classify_sentences(feats)
     out = (classified
@@ -78,18 +55,19 @@ def classify_questions(candidates: DataFrame, annotator=None, keep_tokens: bool
            .withColumn("qwords_functional", T.join_words(F.col("qwords_functional")))
            .drop("ends_with_question_mark", "matrix_verb", "matrix_subject", "has_tag_question"))
     if remove_nonquestions:
-        out = out.filter(F.col("use") != "no")
+        out = out.filter(F.col("use").isNull() | (F.col("use") != "no"))
     if keep_tokens:
         return out
     return sentences.order_question_columns(out.drop("sent_start"))
 
 
-def questions(spark: SparkSession, sf_dir: str, annotator=None, keep_tokens: bool = False) -> DataFrame:
+def questions(spark: SparkSession, sf_dir: str, annotator, keep_tokens: bool = False) -> DataFrame:
     """D3 over the driver tables."""
     return classify_questions(question_candidates(spark, sf_dir), annotator, keep_tokens)
 
 
-def classification_sheet(questions_with_tokens: DataFrame, k: int = 20, seed: str = "12345") -> DataFrame:
+def classification_sheet(questions_with_tokens: DataFrame, k: int = 20, seed: str = "12345",
+                         max_chars: int = 70) -> DataFrame:
     """A14 + F5 + P30 -> S12 lines: up to k distinct short texts per (language, structure,
     use), each rendered with its predicted word tags."""
     from pyspark.sql import Window
@@ -99,7 +77,7 @@ def classification_sheet(questions_with_tokens: DataFrame, k: int = 20, seed: st
     from quaestio.functions import text as T
     keys = ["language", "structure", "use"]
     # render first: the shuffles below then move one short line per question, not its parse
-    short = (questions_with_tokens.filter(F.length("text") < sampling.MAX_CHARS)
+    short = (questions_with_tokens.filter((F.length("text") < max_chars) & F.col("structure").isNotNull())
              .select(*keys, "text", T.render_tagged_line(F.col("tokens"), F.col("structure")).alias("line"))
              .dropDuplicates([*keys, "text"]))
     w = Window.partitionBy(*keys).orderBy(sampling.sample_key(F.col("text"), seed), "text")
@@ -114,10 +92,11 @@ def feature_sheet(questions: DataFrame, k: int = 50, seed: str = "12345") -> Dat
     return sampling.feature_sheet_lines(sampling.feature_sample(questions, k, seed=seed))
 
 
-def roundtrip_scores(questions_with_tokens: DataFrame) -> DataFrame:
+def roundtrip_scores(questions_with_tokens: DataFrame, annotator) -> DataFrame:
     """E2-E4 over gold lines rendered from classified questions (P30 + a comment):
     the untagged text is parsed again in single-sentence mode, classified, and scored
-    against the tags written into the line."""
+    against the tags written into the line. ``annotator`` maps (text, language) rows to
+    rows with ``tokens``; a line without a parse stays, marked ``unparsed``."""
     from pyspark.sql import functions as F
 
     from quaestio.functions import text as T
@@ -127,6 +106,4 @@ def roundtrip_scores(questions_with_tokens: DataFrame) -> DataFrame:
         F.concat(T.render_tagged_line(F.col("tokens"), F.col("structure")), F.lit(" // from "), F.col("id"))
         .alias("line"))
     gold = evaluate.parse_gold(lines)
-    parsed = spread_for_cpu(gold).withColumn(
-        "tokens", F.try_element_at(testdata.standin_parse_single(F.col("text"), F.col("language")), F.lit(1)))
-    return evaluate.score(rules.classify_sentences(parsed.filter(F.col("tokens").isNotNull())))
+    return evaluate.score(rules.classify_sentences(annotator(gold)))

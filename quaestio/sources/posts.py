@@ -24,16 +24,13 @@ CSV_OPTIONS = {
 POST_TEXT_COLUMNS = ("full_text", "quoted_text")
 
 
-def read_posts_csv(spark: SparkSession, path: str, max_rows: int | None = None) -> DataFrame:
-    """S1 + S2 + S3: CSV scan of raw posts, every column as text, then typed.
+def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
+    """S1 + S3: CSV scan of raw posts, every column as text, then typed.
 
     ``created_at`` goes through P1, ``hashtags`` through P2 and the two text columns
-    get NULL -> ''. ``max_rows`` caps the rows read from this file (the reference's
-    row cap option); it is off by default.
+    get NULL -> ''. There is no row cap: ``limit`` on the result is the user's to add.
     """
     raw = spark.read.options(**CSV_OPTIONS).csv(path)
-    if max_rows is not None:
-        raw = raw.limit(max_rows)
     return type_posts(raw)
 
 
@@ -65,9 +62,9 @@ def normalise_posts(posts: DataFrame, dataset: str | None = None) -> DataFrame:
     return out.withColumn("language", T.language_from_dataset(F.col("dataset")))
 
 
-def load_raw_posts(spark: SparkSession, dataset_paths: dict[str, str], max_rows: int | None = None) -> DataFrame:
+def load_raw_posts(spark: SparkSession, dataset_paths: dict[str, str]) -> DataFrame:
     """Read every named CSV, tag it with its dataset name and stack them by column name."""
-    frames = [normalise_posts(read_posts_csv(spark, path, max_rows), name) for name, path in dataset_paths.items()]
+    frames = [normalise_posts(read_posts_csv(spark, path), name) for name, path in dataset_paths.items()]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -62,7 +62,9 @@ FROM documents
 
 
 def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raw_posts_from_documents(table(spark, sf_dir, "documents"))
+    # the driver's table is one file with one row group, i.e. one task: deal its rows out
+    documents = table(spark, sf_dir, "documents")
+    return raw_posts_from_documents(documents.repartition(spark.sparkContext.defaultParallelism))
 
 
 # ----------------------------------------------------------------------------- stand-in parses

@@ -52,14 +52,13 @@ def candidate_stream(raw: DataFrame) -> DataFrame:
 
 
 def start_question_stream(raw: DataFrame, output_path: str, checkpoint_path: str,
-                          classify: Callable[[DataFrame], DataFrame] | None = None,
+                          classify: Callable[[DataFrame], DataFrame],
                           trigger_available_now: bool = True) -> StreamingQuery:
-    """Classify each micro-batch of candidates and append it to a Parquet table."""
-    from quaestio.plans import jobs
-    classify = classify or jobs.classify_questions
+    """Classify each micro-batch of candidates into the partition ``epoch=<id>`` of a
+    Parquet table; a batch that is replayed after a failure overwrites its partition."""
 
     def write_batch(batch: DataFrame, epoch_id: int) -> None:
-        classify(batch).write.mode("append").parquet(output_path)
+        classify(batch).write.mode("overwrite").parquet(f"{output_path}/epoch={epoch_id}")
 
     w = candidate_stream(raw).writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint_path)
     if trigger_available_now:

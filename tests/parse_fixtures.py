@@ -106,13 +106,13 @@ EST_CE_QUE = ("Est-ce que tu viens ?", [
     ("viens", "venir", "VERB", "ROOT", 4, "VerbForm=Fin|Tense=Pres"),
     ("?", "?", "PUNCT", "punct", 4)])
 
-PILE_OU_FACE = ("Vous la voulez pile ou face ?", [
+SUCRE_OU_CITRON = ("Vous le prenez sucre ou citron ?", [
     ("Vous", "vous", "PRON", "nsubj", 2, "Person=2"),
-    ("la", "la", "PRON", "obj", 2),
-    ("voulez", "vouloir", "VERB", "ROOT", 2, "VerbForm=Fin|Tense=Pres"),
-    ("pile", "pile", "NOUN", "obj", 2),
+    ("le", "le", "PRON", "obj", 2),
+    ("prenez", "prendre", "VERB", "ROOT", 2, "VerbForm=Fin|Tense=Pres"),
+    ("sucre", "sucre", "NOUN", "obj", 2),
     ("ou", "ou", "CCONJ", "cc", 5),
-    ("face", "face", "NOUN", "conj", 3),
+    ("citron", "citron", "NOUN", "conj", 3),
     ("?", "?", "PUNCT", "punct", 2)])
 
 

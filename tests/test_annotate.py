@@ -68,3 +68,32 @@ def test_lookup_parse(spark):
     out = annotate.annotate_with_lookup(frame(spark), table)
     got = {r["id"]: (r["text"], r["offset"], len(r["tokens"])) for r in out.collect()}
     assert got == {"a": ("You came?", 18, 3), "b": ("Fine?", 0, 2)}
+
+
+def test_lookup_keeps_texts_without_a_parse(spark):
+    sents = testdata.standin_parse(F.col("text"), F.col("language"))
+    table = spark.createDataFrame([("english", "Fine?"), ("english", "Fine?")], "language string, text string").withColumn("parse", sents)
+    got = {r["id"]: r["tokens"] for r in annotate.annotate_with_lookup(frame(spark), table).collect()}
+    assert got.keys() == {"a", "b"} and got["a"] is None and got["b"] is not None
+
+
+def test_providers_of_different_factories_stay_apart(spark):
+    def factory(name):
+        class Named(annotate.ParseProvider):
+            def parse(self, texts, language):
+                return [[[{"i": 0, "idx": 0, "text": name, "ws": "", "lemma": name, "pos": "X", "dep": "ROOT", "head": 0, "morph": {}}]]
+                        for _ in texts]
+        return lambda: Named()
+    for k in range(8):
+        out = annotate.annotate_with_python(frame(spark), factory(f"p{k}")).collect()
+        assert {t["text"] for r in out for t in r["tokens"]} == {f"p{k}"}
+
+
+def test_questions_without_parse_or_vocabulary_have_no_class(spark):
+    from quaestio.operators import rules
+    sents = F.try_element_at(testdata.standin_parse_single(F.col("text"), F.col("language")), F.lit(1))
+    df = spark.createDataFrame([("a", "english", "You came?"), ("b", "???", "You came?"), ("c", "english", "You came?")],
+                               "id string, language string, text string")
+    df = df.withColumn("tokens", F.when(F.col("id") != "c", sents))
+    got = {r["id"]: (r["structure"], r["use"]) for r in rules.classify_sentences(df).collect()}
+    assert got["a"][0] and got["a"][1] and got["b"] == got["c"] == (None, None)

@@ -4,12 +4,19 @@ import os
 
 from pyspark.sql import functions as F
 
+from quaestio.sources import testdata
+from quaestio.operators import annotate
+from quaestio.plans import jobs
 from quaestio.operators import sampling
 from quaestio.sources import posts as P
 from quaestio.sources import sinks
 from quaestio.streaming import posts_stream
 
 
+def annotate_standin(df):
+    return annotate.annotate_with_expression(df, testdata.standin_parse)
+
+
 def test_csv_round_trip_keeps_lists(spark, tmp_path):
     df = spark.createDataFrame([("1", ["a", "b"], 'say "hi"\nnow', "")],
                                "id string, hashtags array<string>, full_text string, quoted_text string")
@@ -46,7 +53,7 @@ def test_feature_sheet_files(spark, tmp_path):
     text = "".join(open(os.path.join(sheet_dir, f), encoding="utf-8").read()
                    for f in sorted(os.listdir(sheet_dir)) if f.startswith("part-"))
     body = text.splitlines()
-    assert body[0].startswith("// This file contains English questions")
+    assert body[0].startswith("// English: sampled questions")
     i_false = body.index("// These questions are predicted to have has_negation == False:")
     i_true = body.index("// These questions are predicted to have has_negation == True:")
     assert i_false < i_true
@@ -60,7 +67,8 @@ def test_streaming_questions(spark, tmp_path):
     (src / "a.csv").write_text("id,created_at,full_text,quoted_text,hashtags,favorite_count,retweet_count,dataset\n"
                                "1,2020-01-01,Who knows? Not me.,,[],0,0,english_s\n", encoding="utf-8")
     raw = posts_stream.read_post_stream(spark, str(src))
-    q = posts_stream.start_question_stream(raw, str(tmp_path / "out"), str(tmp_path / "ckpt"))
+    q = posts_stream.start_question_stream(raw, str(tmp_path / "out"), str(tmp_path / "ckpt"),
+                                           lambda batch: jobs.classify_questions(batch, annotate_standin))
     q.awaitTermination(300)
     out = spark.read.parquet(str(tmp_path / "out"))
     assert [r["text"] for r in out.collect()] == ["Who knows?"]

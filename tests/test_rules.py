@@ -4,7 +4,7 @@ the rule definitions (each case fires some rules and leaves others silent)."""
 import pytest
 from pyspark.sql import functions as F
 
-from parse_fixtures import (DO_THEY_KNOW, EST_CE_QUE, I_WONDER_WHY, IK_VRAAG_ME_AF, PILE_OU_FACE, TOMORROW,
+from parse_fixtures import (DO_THEY_KNOW, EST_CE_QUE, I_WONDER_WHY, IK_VRAAG_ME_AF, SUCRE_OU_CITRON, TOMORROW,
                             WAT_EEN_ROMMEL, WHAT_DO_YOU_WANT, YOU_ARE_COMING, YOU_CAME_DIDNT_YOU, frame)
 from quaestio.operators import rules
 
@@ -26,7 +26,7 @@ CASES = [
      [None, None, None, None, "indirect", None, None, None]),
     ("est_ce", "french", EST_CE_QUE, "insitu", "direct", True, False, (0, 1),
      [None, None, "insitu", None, None, None]),
-    ("pile_ou_face", "french", PILE_OU_FACE, "risingdecl", "direct", False, False, (2, 0),
+    ("sucre_ou_citron", "french", SUCRE_OU_CITRON, "risingdecl", "direct", False, False, (2, 0),
      [None, None, None, None, "no", None, None]),
 ]
 

@@ -63,5 +63,14 @@ def test_posts_load(spark, tmp_path):
     assert rows["2"]["created_at"] is None
     assert rows["1"]["language"] == "french" and rows["1"]["dataset"] == "french_test"
     assert rows["1"]["extra"] == "x"
-    capped = P.read_posts_csv(spark, str(path), max_rows=1)
-    assert capped.count() == 1
+    assert P.read_posts_csv(spark, str(path)).count() == 2
+
+
+def test_split_of_many_sentences(spark):
+    text = "".join(f"Sentence {i}. " for i in range(1000))
+    df = spark.createDataFrame([(text,), ("",), (None,)], "text string")
+    from quaestio.operators.sentences import split_sentences
+    many, empty, null = [r["s"] for r in df.select(split_sentences(F.col("text")).alias("s")).collect()]
+    assert [(x["start"], x["text"]) for x in many[:1000]] == [
+        (text.index(f"Sentence {i}. "), f"Sentence {i}.") for i in range(1000)]
+    assert [x["text"] for x in empty] == [""] and null is None

@@ -14,6 +14,8 @@ def one(spark, expr, value, schema="v string"):
 def test_parse_date(spark):
     assert one(spark, T.parse_date, "2021-03-04 10:11:12") == datetime.date(2021, 3, 4)
     assert one(spark, T.parse_date, "2021-03-04") == datetime.date(2021, 3, 4)
+    assert one(spark, T.parse_date, "2021-3-5") == datetime.date(2021, 3, 5)
+    assert one(spark, T.parse_date, "2021-03-05 7:08:09") == datetime.date(2021, 3, 5)
     assert one(spark, T.parse_date, "04/03/2021") is None
     assert one(spark, T.parse_date, None) is None
 
