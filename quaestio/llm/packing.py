@@ -34,7 +34,7 @@ from quaestio.llm.shared import stored
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Pieces of one length that a numbering group holds on average.
 GROUP_ROWS = 8192
 
@@ -78,8 +78,10 @@ class TokenIds(dict):
         return self.bytewise if all(self.merged(w) == self.encode(w) for w in probe) else None
 
     def merged(self, letters: str) -> bytes:
-        letters = letters.lower().encode()
-        return np.array([x.id for x in self.tokenizer.model.tokenize("".join(map(self.bytewise.__getitem__, letters)))], "<u4").tobytes()
+        letters = letters.lower()
+        if not letters.isascii():  # an ASCII letter stands for itself
+            letters = "".join(map(self.bytewise.__getitem__, letters.encode()))
+        return b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(letters)])
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
@@ -87,7 +89,7 @@ class TokenIds(dict):
         if self.bytewise and (m := self._plain.fullmatch(word)):
             letters, tail = m.groups()
             if tail:
-                ids = self[letters] + (self.get(tail) or self.setdefault(tail, self.encode(tail)))
+                ids = self[letters.lower()] + (self.get(tail) or self.setdefault(tail, self.encode(tail)))
             else:
                 low = letters.lower()
                 ids = self[low] if low != letters else self.merged(letters)
