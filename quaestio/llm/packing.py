@@ -33,8 +33,9 @@ from quaestio.llm.shared import stored
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Words whose ids a worker remembers; beyond, it starts anew.
-REMEMBERED = 200_000
+#: Words whose ids a worker remembers in each of two generations: when the newer is full it
+#: becomes the older, from which words that come again are taken over.
+REMEMBERED = 150_000
 #: Pieces of one length that a numbering group holds on average.
 GROUP_ROWS = 8192
 
@@ -59,6 +60,7 @@ class TokenIds(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         super().__init__()
+        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.spaceless = "Replace" in str(self.tokenizer.normalizer) and self.encode("a b") == self.encode("a") + self.encode("b")
@@ -85,7 +87,11 @@ class TokenIds(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
+        if (ids := self.older.get(word)) is not None:
+            self[word] = ids
+            return ids
         if self.bytewise and (m := self._plain.fullmatch(word)):
             letters, tail = m.groups()
             if tail:
