@@ -17,22 +17,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Closing remarks of the stand-in posts, by the language their dataset is named after. They
+#: put the things that post features and clean-up look for (and look-alikes) into the rows.
+REMARKS = {
+    "english": ["No one knows this plandemic! Do they?", "Nothing\rwas said   here, and that is not all.", "Nothings and hoaxes ➡️ here.",
+                "Why is it always her or us?"],
+    "french": ["Tout le monde dit non, est-ce vrai?", "C'est dÃ©jÃ  un hoax ou pas.", "Viens-tu avec nous et elle?", "Rien\rde    nouveau ➡️ jamais."],
+    "italian": ["Non è un hoax, vero?", "Chi viene con noi o con lei?", "Niente\rdi    nuovo ➡️ sempre.", "Tutti e nessuno!"],
+    "dutch": ["Waarom gelooft niemand haar of ons?", "Het is geen plandemie, toch?", "Nooit\riets    nieuws ➡️ en niks.", "Wij wel!"],
+    "other": ["Warum nicht?", "Nada de eso."],
+}
+
+
 def raw_posts_from_documents(documents: DataFrame) -> DataFrame:
     """documents -> raw post rows (text columns as a CSV scan would give them)."""
     d = F.col("doc_id")
     day = F.lpad((d % 28 + 1).cast("string"), 2, "0")
     lang_name = (F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "french")
-                 .when(F.col("lang") == "nl", "dutch").when(F.col("lang") == "it", "italian")
+                 .when((F.col("lang") == "nl") | (d % 3 == 0), "dutch").when((F.col("lang") == "it") | (d % 3 == 1), "italian")
                  .otherwise(F.col("lang")))
+    remark = F.get(F.array(*map(F.lit, REMARKS["other"])), (d % len(REMARKS["other"])).cast("int"))
+    for language in ("english", "french", "italian", "dutch"):
+        options = REMARKS[language]
+        remark = F.when(lang_name == language, F.get(F.array(*map(F.lit, options)), (d % len(options)).cast("int"))).otherwise(remark)
     first_word = F.split_part(F.col("text"), F.lit(" "), F.lit(1))
     second_word = F.split_part(F.col("text"), F.lit(" "), F.lit(2))
     return documents.select(
         d.cast("string").alias("id"),
         F.when(d % 3 == 0, F.concat(F.lit("2024-01-"), day, F.lit(" 08:30:00")))
-        .when(d % 3 == 1, F.concat(F.lit("2024-02-"), day))
+        .when(d % 6 == 1, F.concat(F.lit("2024-02-"), day))
+        .when(d % 6 == 4, F.concat(F.lit("2024-3-"), (d % 28 + 1).cast("string")))
         .otherwise(F.lit("unknown")).alias("created_at"),
         F.concat(F.lit("@user"), (d % 7).cast("string"), F.lit(" #"),
-                 F.replace(F.col("text"), F.lit(","), F.lit("?"))).alias("full_text"),
+                 F.replace(F.col("text"), F.lit(","), F.lit("?")), F.lit(" "), remark).alias("full_text"),
         F.when(d % 4 == 0, F.lit(None).cast("string")).otherwise(F.lit("")).alias("quoted_text"),
         F.concat(F.lit("['"), first_word, F.lit("', '"), second_word,
                  F.when(d % 10 == 0, F.lit("', 'Hoax']")).otherwise(F.lit("']"))).alias("hashtags"),
@@ -43,19 +60,31 @@ def raw_posts_from_documents(documents: DataFrame) -> DataFrame:
     )
 
 
-DUCKDB_RAW_POSTS = """
+_LANG_NAME_SQL = """CASE WHEN lang = 'en' THEN 'english' WHEN lang = 'fr' THEN 'french'
+                 WHEN lang = 'nl' OR doc_id % 3 = 0 THEN 'dutch' WHEN lang = 'it' OR doc_id % 3 = 1 THEN 'italian' ELSE lang END"""
+
+
+def _remark_sql(language: str) -> str:
+    def quoted(x: str) -> str:
+        return "'" + x.replace("'", "''").replace("\r", "' || chr(13) || '") + "'"
+    return f"([{', '.join(map(quoted, REMARKS[language]))}])[doc_id % {len(REMARKS[language])} + 1]"
+
+
+DUCKDB_RAW_POSTS = f"""
 SELECT CAST(doc_id AS VARCHAR) AS id,
        CASE WHEN doc_id % 3 = 0 THEN '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') || ' 08:30:00'
-            WHEN doc_id % 3 = 1 THEN '2024-02-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')
+            WHEN doc_id % 6 = 1 THEN '2024-02-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0')
+            WHEN doc_id % 6 = 4 THEN '2024-3-' || CAST(doc_id % 28 + 1 AS VARCHAR)
             ELSE 'unknown' END AS created_at,
-       '@user' || CAST(doc_id % 7 AS VARCHAR) || ' #' || replace(text, ',', '?') AS full_text,
+       '@user' || CAST(doc_id % 7 AS VARCHAR) || ' #' || replace(text, ',', '?') || ' ' ||
+         CASE {_LANG_NAME_SQL} {' '.join(f"WHEN '{x}' THEN {_remark_sql(x)}" for x in ('dutch', 'italian', 'french', 'english'))}
+              ELSE {_remark_sql('other')} END AS full_text,
        CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '' END AS quoted_text,
        '[''' || split_part(text, ' ', 1) || ''', ''' || split_part(text, ' ', 2)
              || CASE WHEN doc_id % 10 = 0 THEN ''', ''Hoax'']' ELSE ''']' END AS hashtags,
        n_chars % 100 AS favorite_count,
        doc_id % 17 AS retweet_count,
-       CASE lang WHEN 'en' THEN 'english' WHEN 'fr' THEN 'french' WHEN 'nl' THEN 'dutch'
-                 WHEN 'it' THEN 'italian' ELSE lang END || '_' || source AS dataset,
+       {_LANG_NAME_SQL} || '_' || source AS dataset,
        source
 FROM documents
 """
