@@ -158,11 +158,16 @@ def train(docs: DataFrame, rows_per_language: int = 600) -> Model | None:
             total = r.n
         else:
             df[r.gram] = r.n
-    # the rank is found on hashes alone; the texts of the few chosen rows follow by the hash
+    # the rank is found on hashes alone; the texts of the few chosen rows follow by the hash.
+    # Of a language, about 8 * rows_per_language of the smallest hashes are ranked (all where
+    # it has fewer), so that the smallest rows_per_language are among them and no task ranks more.
     key = F.xxhash64("text", "lang")
-    pick = Window.partitionBy("lang").orderBy("h")
-    chosen = (rows.select("lang", key.alias("h")).distinct().withColumn("rank", F.row_number().over(pick))
-              .filter(F.col("rank") <= rows_per_language))
+    share = (F.shiftrightunsigned("h", 11) / float(1 << 53))  # 0 to 1, in the order of the unsigned hash
+    hashes = rows.select("lang", key.alias("h"))
+    sizes = F.broadcast(hashes.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")))  # a row for each language
+    pick = Window.partitionBy("lang").orderBy(share, "h")
+    chosen = (hashes.join(sizes, "lang").filter(share * F.col("n") <= 8 * rows_per_language).select("lang", "h").distinct()
+              .withColumn("rank", F.row_number().over(pick)).filter(F.col("rank") <= rows_per_language))
     chosen = F.broadcast(chosen.select(F.col("lang").alias("_lang"), F.col("h").alias("_h"), "rank"))  # bounded per language
     sample = rows.join(chosen, (key == F.col("_h")) & (F.col("lang") == F.col("_lang"))).dropDuplicates(["lang", "rank"])
     sample = sample.select("lang", "text", "rank").mapInArrow(_features, "lang string, rank long, ids binary, n binary").collect()
