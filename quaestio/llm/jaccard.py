@@ -12,7 +12,7 @@ sets are one node. Nodes link when 100 * |intersection| >= 90 * |union|.
   test on shingles in hash order leaves out nodes that cannot have a partner: with l more
   places in the prefix, linked nodes share l of them, so a node with fewer shared ones
   has no link. Only the other nodes' sets are built in full and ranked by frequency.
-  Lists are worked off in stars, every node against one node of its list, in a few
+  Lists are worked off in stars, every node against two nodes of its list, in a few
   rounds while lists hold many pairs of different components; then, of what is not yet
   one component, the remaining pairs of a list. A large group of near copies thus costs
   a few stars, not all of its pairs; a component never misses a link.
@@ -174,12 +174,13 @@ def _live(table: pa.Table, answered: pa.Table) -> pa.Table:
 
 
 #: A posting: the node's size, the token's place among its members (rarest first), and the
-#: node's shape: how many members have each value of their upper 4 bits, modulo 16.
-POSTING = ("token", "node", "n", "place", "shape")
+#: node's shape: for each value of the upper 8 bits, whether an odd number of members has it.
+SHAPE = ("shape0", "shape1", "shape2", "shape3")
+POSTING = ("token", "node", "n", "place", *SHAPE)
 
 
 def _postings(table: pa.Table, answered: pa.Table) -> pa.Table:
-    out: list[list[np.ndarray]] = [[], [], [], [], []]
+    out: list[list[np.ndarray]] = [[] for _ in POSTING]
     if len(table):
         flat, total, lengths = _known(table, answered, "members")
         at = 0
@@ -189,10 +190,10 @@ def _postings(table: pa.Table, answered: pa.Table) -> pa.Table:
             rare = np.lexsort((own, often))[:n - must_share(n) + 1]
             place = np.flatnonzero(often[rare] > 1)
             rare = rare[place]
-            shape = np.bincount((own >> np.uint64(60)).astype(np.int64), minlength=16) & 15
-            shape = int((shape.astype(np.uint64) << np.arange(0, 64, 4, dtype=np.uint64)).sum(dtype=np.uint64).astype(np.int64))
+            odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+            shape = np.packbits(odd.astype(np.uint8)).view(np.int64)
             for x, v in zip(out, (own[rare].view(np.int64), np.full(len(rare), node), np.full(len(rare), n), place,
-                                  np.full(len(rare), shape, np.int64))):
+                                  *[np.full(len(rare), part) for part in shape])):
                 x.append(v)
     return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(POSTING, out)})
 
@@ -225,19 +226,17 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _fits(a, b):
     """Whether the nodes of two postings of a token can link, if it is the first they
-    share: by size, by the members left behind it, and by how far their shapes are apart."""
+    share: by size, by the members left behind it, and by how far their shapes are apart
+    (each bit that differs stands for at least one member that only one of them has)."""
     least = F.ceil(90 * (a["n"] + b["n"]) / 190)
     behind = F.least(a["n"] - a["place"], b["n"] - b["place"])  # the token itself included
-    apart = F.lit(0)
-    for i in range(16):
-        d = F.abs(F.shiftright(a["shape"], 4 * i).bitwiseAND(F.lit(15)) - F.shiftright(b["shape"], 4 * i).bitwiseAND(F.lit(15)))
-        apart = apart + F.least(d, 16 - d)
+    apart = sum((F.bit_count(a[c].bitwiseXOR(b[c])) for c in SHAPE), F.lit(0))
     return ((10 * F.least(a["n"], b["n"]) >= 9 * F.greatest(a["n"], b["n"])) & (behind >= least)
             & (apart <= a["n"] + b["n"] - 2 * least))
 
 
 def _posting(prefix: str = "") -> dict:
-    return {c: F.col(prefix + c) for c in ("n", "place", "shape")}
+    return {c: F.col(prefix + c) for c in ("n", "place", *SHAPE)}
 
 
 def boundary(nodes: DataFrame) -> int:
@@ -308,28 +307,33 @@ def classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
     postings, sets = found
     tested = None
     for turn in range(TURNS):
-        # every node against one node of its list, another one for each list and turn, unless they are one component already
-        named = postings if tested is None else left
-        pick = F.min(F.struct(F.xxhash64("node", "token", F.lit(turn)).alias("h"), "node", "n", "place", "shape", "root"))
-        if tested is None:
-            named = named.withColumn("root", F.col("node"))
-        star = named.join(named.groupBy("token").agg(pick.alias("f")), "token").filter(F.col("root") != F.col("f.root"))
+        # every node against two nodes of its list, unless they are one component already: one with the fewest rarer
+        # members (in a group of near copies, one with the fewest changes of its own), and any one, by hash
+        named = postings.withColumn("root", F.col("node")) if tested is None else left
+        what = [F.xxhash64("node", "token", F.lit(turn)).alias("h"), "node", "n", "place", *SHAPE, "root"]
+        hubs = named.groupBy("token").agg(F.min(F.struct(F.col("place").alias("first"), *what)).alias("plain"),
+                                          F.min(F.struct(F.lit(0).cast("long").alias("first"), *what)).alias("any"))
+        hubs = stored(hubs.select("token", F.explode(F.array("plain", "any")).alias("f")), "hubs")
+        star = named.join(small(hubs, 120), "token").filter(F.col("root") != F.col("f.root"))
         star = (star.filter(_fits(_posting(), _posting("f.")))
                 .select(F.greatest("node", "f.node").alias("u"), F.least("node", "f.node").alias("v")).distinct())
         star = stored(star if tested is None else star.join(tested, ["u", "v"], "left_anti"), "pairs-star")
         tested = star if tested is None else tested.union(star)
-        roots = stored(components(links.union(stored(_verified(star, sets), "links-star"))), "roots")
+        gained = stored(_verified(star, sets), "links-star")
+        if turn and gained.isEmpty():  # stars link no more: components and open lists stay as they are
+            break
+        roots = stored(components(links.union(gained)), "roots")
         links = roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
         named = postings.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         open_ = named.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("token")
-        left = stored(named.join(open_, "token"), "postings-open")
+        left = stored(named.join(small(stored(open_, "lists-open"), 16), "token"), "postings-open")
         # the pairs of different components that lists still hold, against the postings
         per = left.groupBy("token", "root").agg(F.count("*").cast("double").alias("c"))
         per = per.groupBy("token").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("pairs"), F.sum("c").alias("c"))
         pairs, c = per.agg(F.sum("pairs"), F.sum("c")).first()
         if (pairs or 0) <= 16 * (c or 0):
             break
-    a, b = (left.select(F.col("token").alias(f"{s}_token"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", "shape", "root")])
+    a, b = (left.select(F.col("token").alias(f"{s}_token"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", *SHAPE, "root")])
             for s in "ab")
     meet = ((F.col("a_token") == F.col("b_token")) & (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
             & _fits(_posting("a_"), _posting("b_")))
