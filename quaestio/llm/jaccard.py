@@ -1,14 +1,16 @@
 """Operator 9: n-gram Jaccard join, size-aware (heavy-light).
 
 A document's set holds the hashes of its distinct word shingles (A-Z lower-cased); equal
-sets are one node. Nodes link when 100 * |intersection| >= 90 * |union|.
+sets are one node. Nodes link when |intersection| >= similarity * |union|, in whole numbers
+(similarity is a fraction). op9's contract sets shingles of 3 words and 9/10; a caller
+without one names its own, as the pipeline does (5 words, 4/5).
 
 * Light nodes (up to a boundary in size): two sets of sizes a <= b link exactly when they
   share a subset of t(a, b) shingles, the least intersection that suffices. Each light
   node enumerates those subsets for every partner size, as hashes; nodes that meet under
   a key are linked without any further look.
 * Heavy nodes: inverted lists. A linked pair shares shingles among the rarest
-  |x| - ceil(0.9 |x|) + 1 of both sets, so only those are listed. Before that, a cheaper
+  |x| - ceil(similarity |x|) + 1 of both sets, so only those are listed. Before that, a cheaper
   test on shingles in hash order leaves out nodes that cannot have a partner: with l more
   places in the prefix, linked nodes share l of them, so a node with fewer shared ones
   has no link. Only the other nodes' sets are built in full and ranked by frequency.
@@ -29,6 +31,7 @@ Columns other than doc_id and text are ignored; empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 from math import comb
 
@@ -42,6 +45,8 @@ from quaestio.llm.components import components
 from quaestio.llm.shared import small, stored
 from quaestio.llm.words import mix, slices, texts, word_hashes
 
+#: Words of a shingle and least Jaccard similarity of linked sets in op9's contract.
+WIDTH, SIMILARITY = 3, Fraction(9, 10)
 #: Sizes considered as the boundary between light and heavy sets.
 MOST_LIGHT = 24
 #: Sketch entries or set members that a block holds on average.
@@ -51,14 +56,30 @@ TURNS = 3
 _MULTIPLIERS = [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3]
 
 
-def least_overlap(a: int, b: int) -> int:
+def as_fraction(similarity: float | str | Fraction) -> Fraction:
+    """``similarity`` as it is written: 0.8 is 4/5."""
+    found = Fraction(str(similarity))
+    if not 0 < found <= 1:
+        raise ValueError("similarity must be over 0 and at most 1")
+    return found
+
+
+def least_overlap(a: int, b: int, similarity: Fraction = SIMILARITY) -> int:
     """The least intersection of linked sets of a and b members."""
-    return -(-90 * (a + b) // 190)
+    p, q = similarity.as_integer_ratio()
+    return -(-p * (a + b) // (p + q))
 
 
-def must_share(n: int) -> int:
+def must_share(n: int, similarity: Fraction = SIMILARITY) -> int:
     """The least intersection of a set of n members with any linked set."""
-    return -(-9 * n // 10)
+    p, q = similarity.as_integer_ratio()
+    return -(-p * n // q)
+
+
+def most_members(n: int, similarity: Fraction = SIMILARITY) -> int:
+    """The most members of a set linked with one of n members."""
+    p, q = similarity.as_integer_ratio()
+    return q * n // p
 
 
 def extra(n: int) -> int:
@@ -66,8 +87,8 @@ def extra(n: int) -> int:
     return max(1, n // 8)
 
 
-def sketch_size(n: int) -> int:
-    return n - must_share(n) + extra(n)
+def sketch_size(n: int, similarity: Fraction = SIMILARITY) -> int:
+    return n - must_share(n, similarity) + extra(n)
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -97,13 +118,13 @@ def _fingerprint(members: np.ndarray, salt: int) -> int:
     return int(mix(members ^ np.uint64(_MULTIPLIERS[salt])).sum(dtype=np.uint64).astype(np.int64))
 
 
-def _sketches(width: int):
+def _sketches(width: int, similarity: Fraction):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             column, out = texts(batch.column("text")), ([], [], [], [])
             for members in shingle_sets(column, width):
                 n = len(members)
-                head = members if n <= MOST_LIGHT else members[:sketch_size(n)]
+                head = members if n <= MOST_LIGHT else members[:sketch_size(n, similarity)]
                 for x, v in zip(out, (n, _fingerprint(members, 0), _fingerprint(members, 1), head.tobytes())):
                     x.append(v)
             yield pa.RecordBatch.from_arrays(
@@ -113,13 +134,13 @@ def _sketches(width: int):
     return run
 
 
-def subset_keys(members: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+def subset_keys(members: np.ndarray, most: int, similarity: Fraction = SIMILARITY) -> Iterator[tuple[int, int]]:
     """(key, role) of every subset that a light set can share with a partner of at most
     ``most`` members. Role 1: the smaller set of the pair, 2: the larger, 3: equal sizes."""
     n, total = len(members), members.sum(dtype=np.uint64)
-    for other in range(must_share(n), min(most, 10 * n // 9) + 1):
+    for other in range(must_share(n, similarity), min(most, most_members(n, similarity)) + 1):
         a, b = min(n, other), max(n, other)
-        least = least_overlap(a, b)
+        least = least_overlap(a, b, similarity)
         if least > a:
             continue
         role = 3 if a == b else 1 if n == a else 2
@@ -129,16 +150,16 @@ def subset_keys(members: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             yield key, role
 
 
-def n_subsets(n: int, most: int) -> int:
-    return sum(comb(n, n - least_overlap(min(n, o), max(n, o))) for o in range(must_share(n), min(most, 10 * n // 9) + 1)
-               if least_overlap(min(n, o), max(n, o)) <= min(n, o))
+def n_subsets(n: int, most: int, similarity: Fraction = SIMILARITY) -> int:
+    others = range(must_share(n, similarity), min(most, most_members(n, similarity)) + 1)
+    return sum(comb(n, n - least) for o in others if (least := least_overlap(n, o, similarity)) <= min(n, o))
 
 
-def _light_keys(most: int):
+def _light_keys(most: int, similarity: Fraction):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
             out = [(k, r, node) for node, s in zip(batch.column("node").to_pylist(), batch.column("sketch").to_pylist())
-                   for k, r in subset_keys(np.frombuffer(s, np.uint64), most)]
+                   for k, r in subset_keys(np.frombuffer(s, np.uint64), most, similarity)]
             for at in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[at:at + 100_000])],
                                                  names=["key", "role", "node"])
@@ -161,16 +182,18 @@ def _known(table: pa.Table, answered: pa.Table, column: str):
     return flat, total[np.searchsorted(keys, flat)], [len(x) for x in parts]
 
 
-def _live(table: pa.Table, answered: pa.Table) -> pa.Table:
-    if not len(table):
-        return pa.table({"node": pa.array([], pa.int64())})
-    _, total, lengths = _known(table, answered, "sketch")
-    out, at = [], 0
-    for node, n, k in zip(table["node"].to_pylist(), table["n_shingles"].to_pylist(), lengths):
-        if (total[at:at + k] > 1).sum() >= extra(must_share(n)):
-            out.append(node)
-        at += k
-    return pa.table({"node": pa.array(out, pa.int64())})
+def _live(similarity: Fraction):
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        if not len(table):
+            return pa.table({"node": pa.array([], pa.int64())})
+        _, total, lengths = _known(table, answered, "sketch")
+        out, at = [], 0
+        for node, n, k in zip(table["node"].to_pylist(), table["n_shingles"].to_pylist(), lengths):
+            if (total[at:at + k] > 1).sum() >= extra(must_share(n, similarity)):
+                out.append(node)
+            at += k
+        return pa.table({"node": pa.array(out, pa.int64())})
+    return run
 
 
 #: A posting: the node's size, the token's place among its members (rarest first), and the
@@ -179,23 +202,25 @@ SHAPE = ("shape0", "shape1", "shape2", "shape3")
 POSTING = ("token", "node", "n", "place", *SHAPE)
 
 
-def _postings(table: pa.Table, answered: pa.Table) -> pa.Table:
-    out: list[list[np.ndarray]] = [[] for _ in POSTING]
-    if len(table):
-        flat, total, lengths = _known(table, answered, "members")
-        at = 0
-        for node, n in zip(table["node"].to_pylist(), lengths):
-            own, often = flat[at:at + n], total[at:at + n]
-            at += n
-            rare = np.lexsort((own, often))[:n - must_share(n) + 1]
-            place = np.flatnonzero(often[rare] > 1)
-            rare = rare[place]
-            odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-            shape = np.packbits(odd.astype(np.uint8)).view(np.int64)
-            for x, v in zip(out, (own[rare].view(np.int64), np.full(len(rare), node), np.full(len(rare), n), place,
-                                  *[np.full(len(rare), part) for part in shape])):
-                x.append(v)
-    return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(POSTING, out)})
+def _postings(similarity: Fraction):
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        out: list[list[np.ndarray]] = [[] for _ in POSTING]
+        if len(table):
+            flat, total, lengths = _known(table, answered, "members")
+            at = 0
+            for node, n in zip(table["node"].to_pylist(), lengths):
+                own, often = flat[at:at + n], total[at:at + n]
+                at += n
+                rare = np.lexsort((own, often))[:n - must_share(n, similarity) + 1]
+                place = np.flatnonzero(often[rare] > 1)
+                rare = rare[place]
+                odd = np.bincount((own >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+                shape = np.packbits(odd.astype(np.uint8)).view(np.int64)
+                for x, v in zip(out, (own[rare].view(np.int64), np.full(len(rare), node), np.full(len(rare), n), place,
+                                      *[np.full(len(rare), part) for part in shape])):
+                    x.append(v)
+        return pa.table({k: pa.array(np.concatenate(v) if v else [], pa.int64()) for k, v in zip(POSTING, out)})
+    return run
 
 
 def _full_sets(width: int):
@@ -208,30 +233,35 @@ def _full_sets(width: int):
     return run
 
 
-def _linked(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in rows:
-        keep = []
-        for x, y in zip(batch.column("x"), batch.column("y")):
-            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            keep.append(100 * both >= 90 * (len(a) + len(b) - both))
-        yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+def _linked(similarity: Fraction):
+    p, q = similarity.as_integer_ratio()
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            keep = []
+            for x, y in zip(batch.column("x"), batch.column("y")):
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(q * both >= p * (len(a) + len(b) - both))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+    return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: Fraction) -> DataFrame:
     x = sets.select(F.col("node").alias("u"), F.col("members").alias("x"))
     y = sets.select(F.col("node").alias("v"), F.col("members").alias("y"))
-    return pairs.join(x, "u").join(y, "v").mapInArrow(_linked, "u long, v long")
+    return pairs.join(x, "u").join(y, "v").mapInArrow(_linked(similarity), "u long, v long")
 
 
-def _fits(a, b):
+def _fits(a, b, similarity: Fraction):
     """Whether the nodes of two postings of a token can link, if it is the first they
     share: by size, by the members left behind it, and by how far their shapes are apart
     (each bit that differs stands for at least one member that only one of them has)."""
-    least = F.ceil(90 * (a["n"] + b["n"]) / 190)
+    p, q = similarity.as_integer_ratio()
+    least = F.ceil(p * (a["n"] + b["n"]) / (p + q))
     behind = F.least(a["n"] - a["place"], b["n"] - b["place"])  # the token itself included
     apart = sum((F.bit_count(a[c].bitwiseXOR(b[c])) for c in SHAPE), F.lit(0))
-    return ((10 * F.least(a["n"], b["n"]) >= 9 * F.greatest(a["n"], b["n"])) & (behind >= least)
+    return ((q * F.least(a["n"], b["n"]) >= p * F.greatest(a["n"], b["n"])) & (behind >= least)
             & (apart <= a["n"] + b["n"] - 2 * least))
 
 
@@ -239,7 +269,7 @@ def _posting(prefix: str = "") -> dict:
     return {c: F.col(prefix + c) for c in ("n", "place", *SHAPE)}
 
 
-def boundary(nodes: DataFrame) -> int:
+def boundary(nodes: DataFrame, similarity: Fraction = SIMILARITY) -> int:
     """The largest size of light sets at the least cost: subsets to enumerate, against
     postings to list and, for each, the members to merge per node met."""
     sizes = {r.n: r for r in nodes.filter(F.col("n_shingles").between(1, MOST_LIGHT)).select(
@@ -250,18 +280,23 @@ def boundary(nodes: DataFrame) -> int:
         cost = 0.0
         for n, r in sizes.items():
             if n <= x:
-                cost += r.rows * n_subsets(n, x)
-            if n >= must_share(x + 1):
-                cost += r.rows * (sketch_size(n) + (n - must_share(n) + 1) * n * (r.rows / max(1, r.lists) - 1))
+                cost += r.rows * n_subsets(n, x, similarity)
+            if n >= must_share(x + 1, similarity):
+                listed = n - must_share(n, similarity) + 1
+                cost += r.rows * (sketch_size(n, similarity) + listed * n * (r.rows / max(1, r.lists) - 1))
         if least is None or cost < least:
             best, least = x, cost
     return best
 
 
-def _large_links(docs: DataFrame, nodes: DataFrame, light: int, width: int) -> tuple[DataFrame, DataFrame] | None:
+def _large_links(docs: DataFrame, nodes: DataFrame, light: int, width: int,
+                 similarity: Fraction) -> tuple[DataFrame, DataFrame] | None:
     """(postings, sets) of the heavy nodes that can have a partner."""
-    heavy = nodes.filter(F.col("n_shingles") >= must_share(light + 1))
-    keep = F.when(F.col("n_shingles") <= MOST_LIGHT, F.expr("substring(sketch, 1, 8 * cast(n_shingles - ceil(9 * n_shingles / 10) + greatest(1, floor(n_shingles / 8)) as int))")).otherwise(F.col("sketch"))
+    heavy = nodes.filter(F.col("n_shingles") >= must_share(light + 1, similarity))
+    p, q = similarity.as_integer_ratio()
+    places = f"n_shingles - ceil({p} * n_shingles / {q}) + greatest(1, floor(n_shingles / 8))"  # sketch_size
+    keep = (F.when(F.col("n_shingles") <= MOST_LIGHT, F.expr(f"substring(sketch, 1, 8 * cast({places} as int))"))
+            .otherwise(F.col("sketch")))
     size = heavy.agg(F.sum(F.octet_length("sketch"))).first()[0] or 0
     if not size:
         return None
@@ -269,7 +304,7 @@ def _large_links(docs: DataFrame, nodes: DataFrame, light: int, width: int) -> t
     heavy = heavy.select("node", "n_shingles", keep.alias("sketch"), F.pmod("node", F.lit(blocks)).alias("block"))
     asked = heavy.groupBy("block").applyInArrow(_ask(C.n_ranges(size), "sketch"), C.FIELDS)
     answered = stored(C.totals(asked).filter("block >= 0"), "shingles-shared")
-    live = stored(heavy.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_live, "node long")
+    live = stored(heavy.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_live(similarity), "node long")
                   .join(nodes.select("node", "node2", "doc_id"), "node"), "sets-live")
     ids = live.select(F.col("doc_id").alias("_id")).distinct()
     rows = docs.select("doc_id", "text")
@@ -282,26 +317,28 @@ def _large_links(docs: DataFrame, nodes: DataFrame, light: int, width: int) -> t
     dealt = sets.withColumn("block", F.pmod("node", F.lit(blocks)))
     asked = dealt.groupBy("block").applyInArrow(_ask(C.n_ranges(size), "members"), C.FIELDS)
     answered = C.totals(asked).filter("block >= 0")
-    postings = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(_postings, ", ".join(f"{c} long" for c in POSTING))
+    postings = dealt.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+        _postings(similarity), ", ".join(f"{c} long" for c in POSTING))
     return stored(postings, "postings"), sets
 
 
-def classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
+def classes(docs: DataFrame, width: int = WIDTH, similarity: float | Fraction = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(rows, roots): per document doc_id, text_hash, n_shingles and node; per node with a
     link the root of its component."""
+    similarity = as_fraction(similarity)
     text_hash = F.xxhash64("text")
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), text_hash.alias("text_hash"))
-    rows = stored(rows.mapInArrow(_sketches(width), "doc_id long, text_hash long, n_shingles long, node long, node2 long, sketch binary"),
+    rows = stored(rows.mapInArrow(_sketches(width, similarity), "doc_id long, text_hash long, n_shingles long, node long, node2 long, sketch binary"),
                   "shingles")
     nodes = stored(rows.filter("n_shingles > 0").groupBy("node", "node2", "n_shingles")
                    .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
-    light = boundary(nodes)
+    light = boundary(nodes) if similarity == SIMILARITY else boundary(nodes, similarity)
     keys = (nodes.filter(F.col("n_shingles") <= light).select("node", "sketch")
-            .mapInArrow(_light_keys(light), "key long, role long, node long"))
+            .mapInArrow(_light_keys(light, similarity), "key long, role long, node long"))
     meet = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w"), F.bit_or("role").alias("roles"))
     meet = meet.filter((F.col("v") != F.col("w")) & (F.col("roles") == 3)).select("key", "v")
     links = stored(keys.join(meet, "key").select(F.col("node").alias("u"), "v").filter("u != v").distinct(), "links-light")
-    found = _large_links(docs, nodes, light, width)
+    found = _large_links(docs, nodes, light, width, similarity)
     if found is None:
         return rows, components(links)
     postings, sets = found
@@ -315,11 +352,11 @@ def classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
                                           F.min(F.struct(F.lit(0).cast("long").alias("first"), *what)).alias("any"))
         hubs = stored(hubs.select("token", F.explode(F.array("plain", "any")).alias("f")), "hubs")
         star = named.join(small(hubs, 120), "token").filter(F.col("root") != F.col("f.root"))
-        star = (star.filter(_fits(_posting(), _posting("f.")))
+        star = (star.filter(_fits(_posting(), _posting("f."), similarity))
                 .select(F.greatest("node", "f.node").alias("u"), F.least("node", "f.node").alias("v")).distinct())
         star = stored(star if tested is None else star.join(tested, ["u", "v"], "left_anti"), "pairs-star")
         tested = star if tested is None else tested.union(star)
-        gained = stored(_verified(star, sets), "links-star")
+        gained = stored(_verified(star, sets, similarity), "links-star")
         if turn and gained.isEmpty():  # stars link no more: components and open lists stay as they are
             break
         roots = stored(components(links.union(gained)), "roots")
@@ -336,16 +373,16 @@ def classes(docs: DataFrame, width: int = 3) -> tuple[DataFrame, DataFrame]:
     a, b = (left.select(F.col("token").alias(f"{s}_token"), *[F.col(c).alias(f"{s}_{c}") for c in ("node", "n", "place", *SHAPE, "root")])
             for s in "ab")
     meet = ((F.col("a_token") == F.col("b_token")) & (F.col("a_node") > F.col("b_node")) & (F.col("a_root") != F.col("b_root"))
-            & _fits(_posting("a_"), _posting("b_")))
+            & _fits(_posting("a_"), _posting("b_"), similarity))
     rest = a.join(b, meet).select(F.col("a_node").alias("u"), F.col("b_node").alias("v")).distinct()
-    more = stored(_verified(rest.join(tested, ["u", "v"], "left_anti"), sets), "links-rest")
+    more = stored(_verified(rest.join(tested, ["u", "v"], "left_anti"), sets, similarity), "links-rest")
     whole = roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(more)
     return rows, stored(components(whole), "roots-all")
 
 
-def join(docs: DataFrame, width: int = 3) -> DataFrame:
+def join(docs: DataFrame, width: int = WIDTH, similarity: float | Fraction = SIMILARITY) -> DataFrame:
     """Per document doc_id, n_shingles and component_id, the smallest doc_id reachable."""
-    rows, roots = classes(docs, width)
+    rows, roots = classes(docs, width, similarity)
     own = rows.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
     named = own.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "nodes-named")
@@ -357,10 +394,10 @@ def join(docs: DataFrame, width: int = 3) -> DataFrame:
                     .alias("component_id")))
 
 
-def keep_one(docs: DataFrame, width: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float | Fraction = SIMILARITY) -> DataFrame:
     """``docs`` with one row of each component: the smallest doc_id (null last); of rows
     that share it, one text, and one row of it. Rows without words stay."""
-    rows, roots = classes(docs, width)
+    rows, roots = classes(docs, width, similarity)
     rows = rows.filter("n_shingles > 0").select(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash").alias("at"), "node")
     # copies of one node first, so that a large group is small before it meets its component
     own = rows.groupBy("node", "at").agg(F.count("*").alias("n"))

@@ -99,3 +99,54 @@ def test_components(spark):
         for u, v in edges:
             root[u] = root[v] = min(root[u], root[v])
     assert got == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
+
+
+def brute_roots(rows, width, p, q):
+    """The class of each row with words, as the set of row numbers that are linked."""
+    sets = [shingles(r[1], width) for r in rows]
+    group = {i: {i} for i, x in enumerate(sets) if x}
+    for i in group:
+        for j in group:
+            if j < i and group[i] is not group[j] and q * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j]):
+                group[i] |= group[j]
+                for k in group[j]:
+                    group[k] = group[i]
+    return group
+
+
+@pytest.mark.parametrize("width,similarity,p,q,most", [(5, 0.8, 4, 5, None), (5, 0.8, 4, 5, 0), (5, 0.8, 4, 5, 12), (2, 0.65, 13, 20, 8)])
+def test_other_widths_and_similarities(spark, monkeypatch, width, similarity, p, q, most):
+    if most is not None:
+        monkeypatch.setattr(J, "boundary", lambda nodes, similarity: most)
+    rows = corpus(21, 200, [0, 3, 5, 9, 14, 20, 24, 29, 33, 60, 140])
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    group = brute_roots(rows, width, p, q)
+    assert any(len(x) > len(y) for x, y in zip(group.values(), brute_roots(rows, 3, 9, 10).values()))
+    want = {r[0]: min(rows[j][0] for j in group[i]) if i in group else r[0] for i, r in enumerate(rows)}
+    assert {r.doc_id: r.component_id for r in J.join(df, width, similarity).collect()} == want
+    kept = {r.doc_id for r in J.keep_one(df, width, similarity).collect()}
+    assert kept == {r[0] for i, r in enumerate(rows) if i not in group or want[r[0]] == r[0]}
+
+
+def test_similarity_is_exact(spark):
+    assert J.as_fraction(0.8) == J.as_fraction("4/5") and J.as_fraction(J.SIMILARITY) == J.SIMILARITY
+    for odd in (0, -0.1, 1.01):
+        with pytest.raises(ValueError):
+            J.as_fraction(odd)
+    # 5-word sets of 9 shingles in common of 10, 8 of 10 and 7 of 10; op9's rule links the first alone
+    for n, linked in ((1, True), (2, True), (3, False)):
+        words_ = [f"w{i}" for i in range(14 - n)]
+        a, b = " ".join(words_), " ".join(words_ + [f"x{i}" for i in range(n)])
+        df = spark.createDataFrame([(1, a, None, None), (2, b, None, None)], SCHEMA)
+        assert J.keep_one(df, 5, 0.8).count() == (1 if linked else 2)
+
+
+def test_pipeline_stage_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+    text = [f"w{i}" for i in range(300)]
+    near = [f"x{i}" if i % 50 == 25 else w for i, w in enumerate(text)]
+    a, b = shingles(" ".join(text), 5), shingles(" ".join(near), 5)
+    assert (len(a & b), len(a | b)) == (266, 326)
+    df = spark.createDataFrame([(1, " ".join(text), None, None), (2, " ".join(near), None, None)], SCHEMA)
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, "").collect()] == [1]
+    assert J.keep_one(df).count() == 2  # op9's contract
