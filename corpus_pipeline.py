@@ -51,8 +51,8 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [("quality rules", quality_rules), ("line dedup", drop_lines), ("n-gram Jaccard join", near_duplicates),
           ("mixing sources", mix_sources), ("best-fit packing", pack)]
 
-#: Tokenizing, the label model and the packing search are beyond SQL; tests/llm compares
-#: the pipeline with a brute-force version.
+#: Tokenizing, the label model and the packing search are beyond SQL;
+#: tests/llm/test_pipeline.py compares each stage with a plain version of it.
 ORACLE_SQL = None
 
 
