@@ -7,7 +7,9 @@ sequence around the largest remaining piece, branching on undominated fillings i
 of waste, and prunes a branch as soon as its waste rules out fewer sequences than the
 incumbent's. The first incumbent is the best-fit solution; a filling is repeated as often
 as the counts allow. The search ends at the lower bound ceil(tokens / capacity) or after
-``max_nodes`` fillings, a limit on effort alone: every piece is always placed.
+``max_nodes`` fillings, a limit on effort alone: every piece is always placed. The limit
+grows with the number of distinct lengths, so that several whole solutions are reached;
+how the search ended is logged.
 
 Every piece then gets its rank among those of its length (a distributed numbering, salted
 so that a length shared by very many pieces is split) and with it its sequence and place.
@@ -19,6 +21,7 @@ ignored.
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
@@ -39,6 +42,12 @@ REMEMBERED = 150_000
 #: Pieces of one length that a numbering group holds on average.
 GROUP_ROWS = 8192
 
+#: Fillings the search tries at least, and steps for each distinct length: a whole solution
+#: of a full histogram takes about 1.3 steps a length.
+LEAST_NODES, STEPS_A_LENGTH = 6000, 2
+
+log = logging.getLogger(__name__)
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
@@ -222,22 +231,31 @@ def _repeat(counts: np.ndarray, largest: int, filling: list[tuple[int, int]]) ->
     return sorted(need.items(), reverse=True), times
 
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, branches: int = 3, max_nodes: int = 6000,
+def complete(counts: np.ndarray, capacity: int = CAPACITY, branches: int = 3, max_nodes: int | None = None,
              effort: int = 60) -> list[tuple[list[tuple[int, int]], int]]:
     """Kinds of sequences as (pieces, how often), using every piece of ``counts`` (index:
     length), by bin completion with the best-fit solution as the first incumbent."""
+    if max_nodes is None:
+        max_nodes = max(LEAST_NODES, STEPS_A_LENGTH * branches * int(np.count_nonzero(counts)))
     best = best_fit(counts, capacity)
     total = int((counts * np.arange(len(counts))).sum())
-    least, n_best, nodes = -(-total // capacity), sum(n for _, n in best), 0
-    stack: list[tuple[np.ndarray, list, int, int]] = [(counts.copy(), [], 0, 0)]
+    least, first, nodes, whole = -(-total // capacity), sum(n for _, n in best), 0, 0
+    n_best = first
+    # of each open branch the pieces left and the kinds chosen, as (last, those before it)
+    stack: list[tuple[np.ndarray, tuple | None, int, int]] = [(counts.copy(), None, 0, 0)]
     while stack and n_best > least and nodes < max_nodes:
         left, chosen, used, waste = stack.pop()
         if waste > (n_best - 1) * capacity - total:  # even without further waste not fewer sequences
             continue
         sizes = np.flatnonzero(left)
         if not sizes.size:
+            whole += 1
             if used < n_best:
-                best, n_best = chosen, used
+                best, n_best = [], used
+                while chosen:
+                    kind, chosen = chosen
+                    best.append(kind)
+                best.reverse()
             continue
         largest = int(sizes[-1])
         left[largest] -= 1
@@ -247,7 +265,11 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, branches: int = 3, ma
         for spare, filling in reversed(options):
             rest = left.copy()
             kind, times = _repeat(rest, largest, filling)
-            stack.append((rest, [*chosen, (kind, times)], used + times, waste + spare * times))
+            stack.append((rest, ((kind, times), chosen), used + times, waste + spare * times))
+    ended = "at the lower bound" if n_best <= least else "with no branch left" if not stack else "at its limit"
+    log.log(logging.WARNING if ended == "at its limit" else logging.INFO,
+            "packing search ended %s: %d sequences (best fit %d, lower bound %d), %d whole solutions, %d of %d fillings",
+            ended, n_best, first, least, whole, nodes, max_nodes)
     return best
 
 

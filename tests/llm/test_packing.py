@@ -105,3 +105,20 @@ def test_search_is_near_exhaustive(seed):
     assert (used == counts).all()
     n = sum(t for _, t in kinds)
     assert n == fewest(sizes, 30)
+
+
+def test_search_of_a_full_histogram_reaches_whole_solutions(caplog):
+    """Twice the usual lengths: 6000 fillings end before the first branch does."""
+    caplog.set_level("INFO", "quaestio.llm.packing")
+    capacity = 4096
+    lengths = np.random.default_rng(1).lognormal(7.0, 0.7, 300_000)
+    counts = np.bincount(np.clip(lengths, 1, capacity).astype(int), minlength=capacity + 1)
+    kinds = P.complete(counts, capacity)
+    used = np.zeros_like(counts)
+    for kind, times in kinds:
+        assert sum(x * n for x, n in kind) <= capacity
+        for x, n in kind:
+            used[x] += n * times
+    assert (used == counts).all()
+    assert sum(t for _, t in kinds) < sum(t for _, t in P.best_fit(counts, capacity))
+    assert "packing search ended" in caplog.text and " 0 whole solutions" not in caplog.text
