@@ -43,7 +43,7 @@ WIDTH = 10
 SHARD_BYTES = 4 << 20
 #: Symbols of one index: a very long text is indexed in several parts.
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Words of a chunk, and how far apart the kept suffix positions are.
 CHUNK, EVERY = 64, 8
 
@@ -65,7 +65,7 @@ class Phrases:
                 found.setdefault(tuple(own[i:i + width]), set()).add(int(item))
         self.lengths = np.array([len(p) for p in found], np.int64)
         self.width = int(self.lengths.max()) if len(found) else 0
-        self.symbols = np.zeros((len(found), self.width), np.int64)
+        self.symbols = np.zeros((len(found), self.width), np.int32)
         for i, p in enumerate(found):
             self.symbols[i, self.width - len(p):] = p
         self.first_item = np.concatenate(([0], np.cumsum([len(x) for x in found.values()]))).astype(np.int64)

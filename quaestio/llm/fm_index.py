@@ -157,7 +157,7 @@ class FMIndex:
             go = np.flatnonzero((lengths > t) & (hi > lo))
             if not len(go):
                 break
-            lo[go], hi[go] = self.left(patterns[go, -1 - t], lo[go], hi[go])
+            lo[go], hi[go] = self.left(patterns[go, -1 - t].astype(np.int64), lo[go], hi[go])
         return lo, hi
 
     def locate(self, rows: np.ndarray) -> np.ndarray:
