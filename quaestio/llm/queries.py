@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quaestio.llm import decontaminate, jaccard, langid, line_dedup, lm, mixing, neighbours, packing, quality, secrets, warc
+from quaestio.llm import alignment, decontaminate, jaccard, langid, line_dedup, lm, mixing, neighbours, packing, quality, secrets, spelling, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,12 +62,22 @@ def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(table(spark, sf_dir, "documents"))
+
+
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_mixing, op2_quality_rules, op3_packing, op4_language_id, op5_neighbours, op6_line_dedup, op7_warc, op8_secret_scan,
-    op9_jaccard_join, op10_lm_scoring, op11_decontaminate)}
+    op9_jaccard_join, op10_lm_scoring, op11_decontaminate, op12_spelling_variants,
+    op13_alignment)}
 
 ORACLE: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op7_warc": warc.ORACLE,
     "op11_decontaminate": decontaminate.ORACLE,
+    "op12_spelling_variants": spelling.ORACLE,
 }
