@@ -1,7 +1,7 @@
 """Annotator hook (L0) and the last-sentence rule.
 
 A parse is ``array<array<token>>``: the sentences an annotator finds in a text, each a
-token array (D4) whose ``idx`` is relative to that text. Parses enter in one of three
+token array (D4) whose ``idx`` is relative to that text. Parses enter in one of four
 ways:
 
 * :func:`annotate_with_lookup` — an equi-join with a table of precomputed parses keyed
@@ -10,7 +10,10 @@ ways:
   per Python worker (e.g. a statistical parser); Arrow batches, no per-row UDF calls.
 * :func:`annotate_with_expression` — any Column-building parse function (JVM-side).
 
-All three then apply G4 the same way: keep only the last sentence; when there were
+* :func:`annotate_with_cache` — a stored table of parses that is filled by a provider with
+  the texts it does not hold yet, then looked up.
+
+All of them then apply G4 the same way: keep only the last sentence; when there were
 several, its text replaces the question text, the offset moves by its start, and the
 text is parsed again on its own.
 """
@@ -22,7 +25,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as ST
 
@@ -59,16 +62,22 @@ def keep_last_sentence(df: DataFrame, parse_col: str, reparse: Callable[[Column,
 
 def annotate_with_expression(df: DataFrame, parse: Callable[[Column, Column], Column],
                              text_col: str = "text", language_col: str = "language") -> DataFrame:
-    """L0 with a JVM-side parse function, then G4."""
+    """L0 with a JVM-side parse function, then G4. In single-sentence mode ``parse`` gives one sentence."""
     parsed = df.withColumn("_parse", parse(F.col(text_col), F.col(language_col)))
     return keep_last_sentence(parsed, "_parse", parse, text_col, language_col)
 
 
 def annotate_with_lookup(df: DataFrame, parses: DataFrame, text_col: str = "text",
-                         language_col: str = "language") -> DataFrame:
+                         language_col: str = "language", single_sentence: bool = False) -> DataFrame:
     """L0 from a parse table ``(language, text, parse)``, then G4 (a second lookup of the
     last sentence's text when needed). A key with several parses counts once; a text
-    without a parse keeps its row, with NULL tokens."""
+    without a parse keeps its row, with NULL tokens. A table that holds parses of both modes
+    tells them apart by a column ``single_sentence``; in single-sentence mode a parse of
+    several sentences does not count."""
+    if "single_sentence" in parses.columns:
+        parses = parses.filter(F.col("single_sentence") == single_sentence)
+    elif single_sentence:
+        parses = parses.filter(F.size("parse") == 1)
     table = (parses.select(F.col("language").alias("_pl"), F.col("text").alias("_pt"), F.col("parse").alias("_parse"))
              .dropDuplicates(["_pl", "_pt"]))
     joined = df.join(table, (F.col(language_col) == F.col("_pl")) & (F.col(text_col) == F.col("_pt")), "left").drop("_pl", "_pt")
@@ -90,12 +99,82 @@ def annotate_with_lookup(df: DataFrame, parses: DataFrame, text_col: str = "text
 
 class ParseProvider:
     """Interface of a Python-side annotator: ``parse(texts, language)`` returns, per text,
-    a list of sentences, each a list of token dicts with the D4 fields."""
+    a list of sentences, each a list of token dicts with the D4 fields. A factory for
+    single-sentence mode gives a provider that returns one sentence a text."""
 
     def parse(self, texts: list[str], language: str) -> list[list[list[dict]]]:  # pragma: no cover
         raise NotImplementedError
 
 
+def parse_key(language: Column, text: Column) -> Column:
+    """The 128-bit key of a text in a language."""
+    return F.md5(F.concat_ws("\u0001", F.coalesce(language, F.lit("")), F.coalesce(text, F.lit(""))))
+
+
+def parse_texts(texts: DataFrame, provider_factory: Callable[[], ParseProvider]) -> DataFrame:
+    """``texts`` (key, language, text) with their parses, whole (every sentence)."""
+    key = hashlib.sha256(cloudpickle.dumps(provider_factory)).hexdigest()
+    schema = ST.StructType([*texts.schema.fields, ST.StructField("parse", PARSE_TYPE)])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider = _worker_provider(key, provider_factory)
+        for pdf in batches:
+            parses: list = [None] * len(pdf)
+            for lang, idx in pdf.groupby("language").indices.items():
+                for k, sentences in zip(idx, provider.parse([pdf["text"].iloc[i] for i in idx], lang)):
+                    parses[k] = sentences or None
+            yield pdf.assign(parse=parses)
+    return texts.mapInPandas(run, schema)
+
+
+def fill_parse_cache(df: DataFrame, path: str, provider_factory: Callable[[], ParseProvider], text_col: str = "text",
+                     language_col: str = "language", single_sentence: bool = False) -> int:
+    """Parse the texts of ``df`` that the table at ``path`` does not hold yet, and, where a parse
+    has several sentences, the text of the last one (G4); append them. Returns how many
+    texts were parsed. The table is ``(key, language, text, parse)``, partitioned by
+    ``single_sentence``; texts are matched by their 128-bit key."""
+    spark = df.sparkSession
+    asked = df.select(F.col(language_col).alias("language"), F.col(text_col).alias("text")).filter("language IS NOT NULL AND text IS NOT NULL")
+    parsed = 0
+    for _ in range(2):
+        known = read_parse_cache(spark, path)
+        wanted = asked.withColumn("key", parse_key(F.col("language"), F.col("text"))).dropDuplicates(["key"]).select("key", "language", "text")
+        if known is not None:
+            wanted = wanted.join(known.filter(F.col("single_sentence") == single_sentence).select("key"), "key", "left_anti")
+        done = Observation()
+        (parse_texts(wanted, provider_factory).withColumn("single_sentence", F.lit(single_sentence))
+         .observe(done, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy("single_sentence").parquet(path))
+        parsed += done.get["n"]
+        if single_sentence:
+            break
+        # the last sentences of parses with several
+        last = F.try_element_at("parse", F.lit(-1))
+        asked = (asked.withColumn("key", parse_key(F.col("language"), F.col("text"))).select("key").distinct()
+                 .join(read_parse_cache(spark, path).filter((F.col("single_sentence") == single_sentence) & (F.size("parse") > 1)), "key")
+                 .select("language", sentence_text(F.col("text"), last).alias("text")))
+    return parsed
+
+
+def read_parse_cache(spark, path: str) -> DataFrame | None:
+    """The cache table, None before its first parses."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm_path):
+        return None
+    schema = ST.StructType([ST.StructField("key", ST.StringType()), ST.StructField("language", ST.StringType()),
+                            ST.StructField("text", ST.StringType()), ST.StructField("parse", PARSE_TYPE),
+                            ST.StructField("single_sentence", ST.BooleanType())])
+    return spark.read.schema(schema).parquet(path)
+
+
+def annotate_with_cache(df: DataFrame, path: str, provider_factory: Callable[[], ParseProvider], text_col: str = "text",
+                        language_col: str = "language", single_sentence: bool = False) -> DataFrame:
+    """L0 through a table of parses that grows: texts it does not hold are parsed once and
+    appended, then all rows look theirs up (and G4 follows). A later run over the same texts
+    parses nothing."""
+    fill_parse_cache(df, path, provider_factory, text_col, language_col, single_sentence)
+    return annotate_with_lookup(df, read_parse_cache(df.sparkSession, path), text_col, language_col, single_sentence)
+
+
 def annotate_with_python(df: DataFrame, provider_factory: Callable[[], ParseProvider],
                          text_col: str = "text", language_col: str = "language",
                          provider_key: str | None = None) -> DataFrame:

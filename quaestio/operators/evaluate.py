@@ -127,15 +127,30 @@ def parse_gold(lines: DataFrame) -> DataFrame:
             .drop("_s", "_t"))
 
 
+def tag_comparison(classified: DataFrame, key: str = "id") -> DataFrame:
+    """E4 in rows: predicted and gold tags joined by (key, start), each side kept: ``key,
+    start, gold, predicted, has_token, differs``. A gold tag without a token at its start
+    stands alone, as do tokens without a gold tag; NULL tags compare as equal."""
+    predicted = classified.select(key, F.explode("tokens").alias("t")).select(
+        key, F.col("t.idx").alias("start"), F.col("t.qtype").alias("predicted"), F.lit(True).alias("has_token"))
+    gold = classified.select(key, F.explode("gold_tags").alias("g")).select(key, F.col("g.start").alias("start"), F.col("g.tag").alias("gold"))
+    return (predicted.join(gold, [key, "start"], "full")
+            .select(key, "start", "gold", "predicted", F.coalesce("has_token", F.lit(False)).alias("has_token"),
+                    (~F.col("gold").eqNullSafe(F.col("predicted"))).alias("differs")))
+
+
 def score(classified: DataFrame) -> DataFrame:
-    """E4 per line: a tag error for every token whose predicted tag differs from the gold
-    tag at its start offset (missing = NULL), plus a structure error when a non-empty
-    gold structure differs from the predicted one. A line without a parse is ``unparsed``
-    and has every gold tag and a non-empty gold structure as errors."""
+    """E4 per line: a tag error for every start where predicted and gold tag differ (a token
+    without a gold tag, or a gold tag without a token, counts as NULL there), plus a
+    structure error when a non-empty gold structure differs from the predicted one. A line
+    without a parse is ``unparsed`` and has every gold tag and a non-empty gold structure
+    as errors. The tags of a line are in its row, so nothing is joined; the sums equal those of
+    :func:`tag_comparison`."""
     tok_gold = lambda t: F.get(F.filter("gold_tags", lambda g: g["start"] == t["idx"]), 0)["tag"]
     unparsed = F.col("tokens").isNull()
+    without_token = F.size(F.filter("gold_tags", lambda g: ~F.exists("tokens", lambda t: t["idx"] == g["start"])))
     tag_errors = F.when(unparsed, F.size("gold_tags")).otherwise(
-        F.size(F.filter("tokens", lambda t: ~t["qtype"].eqNullSafe(tok_gold(t)))))
+        F.size(F.filter("tokens", lambda t: ~t["qtype"].eqNullSafe(tok_gold(t)))) + without_token)
     gs = F.col("gold_structure")
     structure_error = F.coalesce(gs.isNotNull() & (gs != "") & ~gs.eqNullSafe(F.col("structure")), F.lit(False))
     return (classified.withColumn("unparsed", unparsed).withColumn("tag_errors", tag_errors.cast("int"))

@@ -14,7 +14,7 @@ def flag_posts(posts: DataFrame, question_count_mode: str = "chars") -> DataFram
     has_disinfo_text_or_hashtags, has_negation``.
 
     Text keywords use the hashtag table (Q2: the two tables are the same object in
-    the reference; pass a different category via :func:`keyword_flag` to change it).
+    the reference).
     An unknown language gives NULL flags (Q3).
     """
     text = F.col("full_text")
@@ -29,12 +29,6 @@ def flag_posts(posts: DataFrame, question_count_mode: str = "chars") -> DataFram
     )
 
 
-def keyword_flag(df: DataFrame, out: str, category: str, text_col: str = "text",
-                 language_col: str = "language") -> DataFrame:
-    """Generic P14/P24 flag: whole-word search of a category's terms in the row's language."""
-    return df.withColumn(out, K.has_any_keyword_by_language(F.col(text_col), F.col(language_col), category))
-
-
 QUESTION_TEXT_FLAGS = {
     "has_negation": "negations",            # P19
     "has_ref_to_other": "pronouns_other",   # P22

@@ -85,10 +85,11 @@ def distinct_datasets(df: DataFrame) -> DataFrame:
 
 
 def schema_listing(df: DataFrame) -> DataFrame:
-    """The columns and their types as a DataFrame (from the plan, no job runs)."""
-    spark = df.sparkSession
-    rows = [(i, name, dtype) for i, (name, dtype) in enumerate(df.dtypes)]
-    return spark.createDataFrame(rows, "position INT, column_name STRING, data_type STRING")
+    """The columns, their types and how many of their values are not NULL."""
+    counted = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+    entries = [F.struct(F.lit(i).alias("position"), F.lit(c).alias("column_name"), F.lit(t).alias("data_type"),
+                        F.col(c).alias("num_values")) for i, (c, t) in enumerate(df.dtypes)]
+    return counted.select(F.inline(F.array(*entries)))
 
 
 def union_datasets(frames: list[DataFrame]) -> DataFrame:

@@ -136,9 +136,14 @@ def matrix_subject_and_verb(tree: Tree, plural_nouns: Column | None = None) -> C
 
 # ----------------------------------------------------------------------------- L14, L15
 
-def inversion(tree: Tree, text: Column, verb: Column, subj: Column) -> Column:
-    """Nullable subject-verb inversion."""
-    est = (tree.lang == "french") & F.substring(F.lower(text), 1, 20).contains("est-ce")
+def inversion(tree: Tree, text: Column, verb: Column, subj: Column, spaced_est_ce: bool = False) -> Column:
+    """Nullable subject-verb inversion. Clean-up writes ``est -ce`` (P7), which the literal
+    test for ``est-ce`` does not meet (Q22); ``spaced_est_ce`` accepts both spellings."""
+    begin = F.substring(F.lower(text), 1, 20)
+    est = begin.contains("est-ce")
+    if spaced_est_ce:
+        est = est | begin.contains("est -ce")
+    est = (tree.lang == "french") & est
     v = tree.tok(verb)
     s = tree.tok(subj)
     inv1 = (verb < subj) | F.coalesce(s["v_whlemma"], F.lit(False))
@@ -401,7 +406,8 @@ def word_tag(tree: Tree, t: Column, done: Column, ends_qm: Column, exclamative:
 # ----------------------------------------------------------------------------- the job
 
 def classify_sentences(df: DataFrame, tokens_col: str = "tokens", text_col: str = "text",
-                       language_col: str = "language", accept_upper_neg: bool = False) -> DataFrame:
+                       language_col: str = "language", accept_upper_neg: bool = False,
+                       spaced_est_ce: bool = False) -> DataFrame:
     """L2-L27 over parsed sentences. Adds ``ends_with_question_mark, matrix_verb,
     matrix_subject, subj_verb_inversion, has_tag_question, structure, use,
     qwords_literal, qwords_functional`` and a ``qtype`` field on every token."""
@@ -410,15 +416,15 @@ def classify_sentences(df: DataFrame, tokens_col: str = "tokens", text_col: str
     except Exception:  # noqa: BLE001 - no SparkContext handle (Connect): build per call
         app = uuid.uuid4().hex
     out = df
-    for name, column in _stage_columns(app, tokens_col, text_col, language_col, accept_upper_neg):
+    for name, column in _stage_columns(app, tokens_col, text_col, language_col, accept_upper_neg, spaced_est_ce):
         out = out.withColumn(name, column)
     out = out.drop("_facts", "_ctx", "_exclamative", "_matrix")
     return fence(out, [c for c in df.columns if c != tokens_col], [tokens_col, *RESULT_COLUMNS])
 
 
 @functools.lru_cache(maxsize=16)
-def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str,
-                   accept_upper_neg: bool) -> tuple[tuple[str, Column], ...]:
+def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str, accept_upper_neg: bool,
+                   spaced_est_ce: bool) -> tuple[tuple[str, Column], ...]:
     """The staged column expressions, built once per application: constructing them
     issues many thousands of JVM calls, while the expressions themselves are plain,
     session-independent trees that can be reused by every query."""
@@ -443,7 +449,7 @@ def _stage_columns(_app: str, tokens_col: str, text_col: str, language_col: str,
         ("_matrix", matrix_subject_and_verb(tree(), F.col("_facts.plural_nouns"))),
         ("matrix_verb", F.col("_matrix.verb")),
         ("matrix_subject", F.col("_matrix.subj")),
-        ("subj_verb_inversion", inversion(tree(), text, F.col("matrix_verb"), F.col("matrix_subject"))),
+        ("subj_verb_inversion", inversion(tree(), text, F.col("matrix_verb"), F.col("matrix_subject"), spaced_est_ce)),
         ("has_tag_question", tag_question(tree(), text, F.col("ends_with_question_mark"),
                                           F.col("subj_verb_inversion"))),
     ]

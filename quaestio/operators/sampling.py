@@ -33,10 +33,14 @@ def sample_per_group(df: DataFrame, group_cols: list[str], k: int, key_col: str,
 
 def sample_posts(posts: DataFrame, k: int = 10, flag: str = "has_disinfo_text_or_hashtags",
                  seed: str = DEFAULT_SEED) -> DataFrame:
-    """A13 (+F4): up to k posts per dataset and flag value."""
+    """A13 (+F4): up to k posts per dataset and flag value. Only ids are ranked; the texts
+    are joined to the ids that were picked (at most k a group, so the join's one side stays
+    small whatever the posts hold)."""
+    groups = ["dataset", "flag"]
     base = (posts.filter(F.col("dataset").isNotNull())
-            .withColumn("flag", F.coalesce(F.col(flag), F.lit(False))))
-    return sample_per_group(base.select("dataset", "flag", "id", "full_text"), ["dataset", "flag"], k, "id", seed)
+            .withColumn("flag", F.coalesce(F.col(flag), F.lit(False))).select(*groups, "id", "full_text"))
+    picked = sample_per_group(base.select(*groups, "id"), groups, k, "id", seed).drop("rank").distinct()
+    return sample_per_group(base.join(picked, [*groups, "id"]), groups, k, "id", seed)
 
 
 def short_distinct_texts(questions: DataFrame, group_cols: list[str], max_chars: int = MAX_CHARS) -> DataFrame:
@@ -46,7 +50,8 @@ def short_distinct_texts(questions: DataFrame, group_cols: list[str], max_chars:
 
 
 def classification_sample(questions: DataFrame, k: int = PER_CLASS, seed: str = DEFAULT_SEED) -> DataFrame:
-    """Per language, structure and use, up to k distinct short texts."""
+    """Per language, structure and use, up to k distinct short texts (the rows of a
+    classification sheet before they are parsed again, see plans/file_job.py)."""
     keys = ["language", "structure", "use"]
     base = short_distinct_texts(questions.filter(F.col("structure").isNotNull() & F.col("use").isNotNull()), keys)
     return sample_per_group(base, keys, k, "text", seed)

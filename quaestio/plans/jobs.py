@@ -92,18 +92,47 @@ def feature_sheet(questions: DataFrame, k: int = 50, seed: str = "12345") -> Dat
     return sampling.feature_sheet_lines(sampling.feature_sample(questions, k, seed=seed))
 
 
-def roundtrip_scores(questions_with_tokens: DataFrame, annotator) -> DataFrame:
-    """E2-E4 over gold lines rendered from classified questions (P30 + a comment):
-    the untagged text is parsed again in single-sentence mode, classified, and scored
-    against the tags written into the line. ``annotator`` maps (text, language) rows to
-    rows with ``tokens``; a line without a parse stays, marked ``unparsed``."""
+def gold_lines_of(questions_with_tokens: DataFrame) -> DataFrame:
+    """Questions rendered as tagged lines with their structure (P30) and a comment."""
     from pyspark.sql import functions as F
 
     from quaestio.functions import text as T
+    return questions_with_tokens.select(
+        "id", "language", F.concat(T.render_tagged_line(F.col("tokens"), F.col("structure")), F.lit(" // from "), F.col("id")).alias("line"))
+
+
+def scored_lines(lines: DataFrame, annotator) -> DataFrame:
+    """E2-E4 over tagged lines: the untagged text is parsed again in single-sentence mode,
+    classified, and scored against the tags written into the line. ``annotator`` maps
+    (text, language) rows to rows with ``tokens``; a line without a parse stays, marked
+    ``unparsed``."""
     from quaestio.operators import evaluate, rules
-    lines = questions_with_tokens.select(
-        "id", "language",
-        F.concat(T.render_tagged_line(F.col("tokens"), F.col("structure")), F.lit(" // from "), F.col("id"))
-        .alias("line"))
-    gold = evaluate.parse_gold(lines)
-    return evaluate.score(rules.classify_sentences(annotator(gold)))
+    return evaluate.score(rules.classify_sentences(annotator(evaluate.parse_gold(lines))))
+
+
+def roundtrip_scores(questions_with_tokens: DataFrame, annotator) -> DataFrame:
+    """E2-E4 over gold lines rendered from classified questions."""
+    return scored_lines(gold_lines_of(questions_with_tokens), annotator)
+
+
+CORPUS_FILES = 8
+
+
+def write_corpus(candidates: DataFrame, path: str, files: int = CORPUS_FILES) -> None:
+    """Candidates as a corpus of tagged lines: each post's language opens a section
+    (``// language``), its candidates follow as ``Word[probe] ... | polar // note id``, with
+    blank lines and remarks between; some posts end reading (``// stop``). One ordered text file
+    a value of ``bucket`` (post id modulo ``files``)."""
+    from pyspark.sql import functions as F
+    number = F.col("tweet_id").cast("bigint")
+    text = F.regexp_replace(F.col("text"), "[\r\n]", " ")
+    line = F.concat(F.regexp_replace(text, r"^([\p{L}\p{N}_]+)", "$1[probe]"), F.lit(" | polar // note "), F.col("id"))
+    no = F.lit(None).cast("string")
+    parts = F.array(F.when(F.col("j") == 0, F.concat(F.lit("// "), F.initcap("language"))).otherwise(no),
+                    F.when(F.col("j") % 3 == 1, F.lit("// a remark")).otherwise(no), line,
+                    F.when(F.col("j") % 2 == 1, F.lit("")).otherwise(no),
+                    F.when((number % 401 == 400) & (F.col("j") == 0), F.lit("// stop")).otherwise(no))
+    rows = (candidates.select((number % files).alias("bucket"), number.alias("number"), "j", F.posexplode(parts).alias("part", "line"))
+            .filter(F.col("line").isNotNull()))
+    (rows.repartition(files, "bucket").sortWithinPartitions("bucket", "number", "j", "part")
+     .select("bucket", "line").write.partitionBy("bucket").text(path))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quaestio.functions import text as T
+from quaestio.sources import csv_splits
 
 CSV_OPTIONS = {
     "header": "true",
@@ -21,6 +22,15 @@ CSV_OPTIONS = {
     "mode": "PERMISSIVE",
 }
 
+#: Types of the columns that the stages add, for tables read back from CSV.
+STAGE_TYPES = {
+    **{c: "boolean" for c in ("has_question", "has_disinfo_hashtags", "has_disinfo_text", "has_disinfo_text_or_hashtags", "has_negation",
+                              "has_ref_to_other", "has_ref_to_group", "has_conjunction", "has_leveler", "has_question_mark",
+                              "subj_verb_inversion")},
+    **{c: "int" for c in ("num_questions", "tweet_num_questions", "j", "offset")},
+    "tweet_has_question": "boolean",
+}
+
 POST_TEXT_COLUMNS = ("full_text", "quoted_text")
 
 
@@ -28,10 +38,11 @@ def read_posts_csv(spark: SparkSession, path: str) -> DataFrame:
     """S1 + S3: CSV scan of raw posts, every column as text, then typed.
 
     ``created_at`` goes through P1, ``hashtags`` through P2 and the two text columns
-    get NULL -> ''. There is no row cap: ``limit`` on the result is the user's to add.
+    get NULL -> ''. Quoted line breaks do not keep a file from being split (see
+    :mod:`quaestio.sources.csv_splits`). There is no row cap: ``limit`` on the result is the
+    user's to add.
     """
-    raw = spark.read.options(**CSV_OPTIONS).csv(path)
-    return type_posts(raw)
+    return type_posts(csv_splits.read_csv(spark, path))
 
 
 def type_posts(raw: DataFrame) -> DataFrame:
@@ -70,8 +81,9 @@ def load_raw_posts(spark: SparkSession, dataset_paths: dict[str, str]) -> DataFr
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Re-read a stage output. Parquet keeps arrays and '' (Q20); the CSV
-    variant re-parses list text with P2."""
+    variant re-parses list text with P2 and casts the stages' known columns (STAGE_TYPES), in one
+    pass over the file; other columns stay text."""
     if fmt == "parquet":
         return spark.read.parquet(path)
-    df = spark.read.options(**CSV_OPTIONS).option("inferSchema", "true").csv(path)
-    return type_posts(df)
+    df = type_posts(csv_splits.read_csv(spark, path))
+    return df.withColumns({c: F.col(c).try_cast(t) for c, t in STAGE_TYPES.items() if dict(df.dtypes).get(c) == "string"})

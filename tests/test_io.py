@@ -4,7 +4,7 @@ import os
 
 from pyspark.sql import functions as F
 
-from quaestio.sources import testdata
+import standin_parse as testdata
 from quaestio.operators import annotate
 from quaestio.plans import jobs
 from quaestio.operators import sampling
