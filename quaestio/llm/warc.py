@@ -4,10 +4,15 @@ Pages become WARC/1.1 records, each a gzip member of its own: the first of equal
 payloads (smallest page_id) a response, the others revisits that name it. Spark's text
 writer puts the members of a task into one file; archives hold about ARCHIVE_BYTES.
 
-The reader goes through a file member by member (or, without compression, version line
-by version line). Where a member cannot be decompressed, a record is cut short, its
-headers are broken or its payload misses its digest, it searches for the next valid
-member or version line, goes on from there and logs the bytes it skipped as a gap.
+The reader goes through a file member by member, and through the content of a member (or
+of a file without compression) version line by version line. Where a record is cut short,
+its headers are broken or its payload misses its digest, it searches for the next valid
+version line, goes on from there and logs the bytes it skipped as a gap: other records of
+the member stay. Where a member cannot be decompressed to its end, the whole records of
+what came out stay, and the reader goes on at the next member that yields any. ``offset``
+and ``gap_end`` are places in the file, ``inner_offset`` and ``inner_end`` places in the content of
+the member that begins at ``offset`` (null without compression). An archive is read as one
+row, so archives must be under 2 GB; the writer makes them of about ARCHIVE_BYTES.
 
 Nulls and odd input: a null html is the empty payload; a null page_id is carried as an
 empty id (of equal payloads without any id, all are responses); rows that repeat in full
@@ -38,7 +43,8 @@ _MEMBER = b"\x1f\x8b\x08"
 DATE = "2024-01-01T00:00:00Z"
 
 RECORDS = ("path string, offset long, record_type string, target_uri string, refers_to_id string, payload_bytes long, "
-           "payload_digest string, page_id long, payload binary, is_gap boolean, gap_end long, reason string")
+           "payload_digest string, page_id long, payload binary, is_gap boolean, gap_end long, reason string, "
+           "inner_offset long, inner_end long")
 
 
 def sha1(payload: bytes) -> str:
@@ -103,7 +109,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     digest_of = F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     again = stored(again, "page-revisits")
     rows = pages.withColumn("_own", _base32(digest_of))
-    rows = rows.join(small(again, 64), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
+    rows = rows.join(small(again, 128), F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")), "left")
     rows = rows.select("page_id", "url", "html", "first", F.col("_digest").isNotNull().alias("revisit"))
     archives = max(1, -(-total // ARCHIVE_BYTES))
     rows = rows.repartition(int(archives), F.xxhash64("page_id", "url", "html"))
@@ -131,6 +137,8 @@ class Parsed:
     payload: bytes = b""
     is_gap: bool = False
     reason: str = ""
+    inner: int | None = None
+    inner_end: int | None = None
 
 
 class Broken(Exception):
@@ -179,64 +187,86 @@ def parse(data: bytes, at: int = 0) -> tuple[Parsed, int]:
     return Parsed(at, end + 4, headers, http, payload), end + 4
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The content and the end of the gzip member at ``at``."""
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """Of the gzip member at ``at`` what can be decompressed, its end, and what broke it ('' if whole)."""
     z, out, end = zlib.decompressobj(31), [], at
     try:
         while not z.eof and end < len(data):
             out.append(z.decompress(data[end:end + 65536]))
             end = min(end + 65536, len(data))
     except zlib.error as e:
-        raise Broken(f"member: {e}") from None
-    if not z.eof:
-        raise Broken("member cut short")
-    return b"".join(out), end - len(z.unused_data)
+        return _more(data, at, b"".join(out), end), end, f"member: {e}"
+    return b"".join(out), end - len(z.unused_data), "" if z.eof else "member cut short"
 
 
-def _read_member(data: bytes, at: int) -> tuple[list[Parsed], int]:
-    content, end = _inflate(data, at)
-    out, inside = [], 0
-    while inside < len(content):
-        found, inside = parse(content, inside)
-        found.offset, found.end = at, end
-        out.append(found)
-    return out, end
+def _more(data: bytes, at: int, known: bytes, end: int) -> bytes:
+    """The content up to a broken place: after whole blocks (``known``, from the bytes up to ``end``)
+    the bytes of the broken one are fed singly."""
+    z = zlib.decompressobj(31)
+    out = [z.decompress(data[at:end])]
+    try:
+        for k in range(end, min(end + 65536, len(data))):
+            out.append(z.decompress(data[k:k + 1]))
+    except zlib.error:
+        pass
+    return b"".join(out) or known
 
 
-def salvage(data: bytes) -> Iterator[Parsed]:
-    """The records of an archive in order, with a gap wherever bytes had to be skipped."""
+def _plain(data: bytes) -> Iterator[Parsed]:
+    """The records of uncompressed content in order, with gaps."""
     at = 0
-    zip_at, plain = data.find(_MEMBER), _VERSION_LINE.search(data)
-    zipped = zip_at >= 0 and (plain is None or zip_at < plain.start())
     while at < len(data):
         try:
-            if zipped:
-                found, end = _read_member(data, at)
-            else:
-                one, end = parse(data, at)
-                found = [one]
-            yield from found
-            at = end
+            found, end = parse(data, at)
+            yield found
         except Broken as e:
-            follow = _next(data, at + 1, zipped)
-            yield Parsed(at, follow, is_gap=True, reason=str(e))
-            at = follow
-
-
-def _next(data: bytes, at: int, zipped: bool) -> int:
-    """Where the next valid member or version line stands, or the end."""
-    while True:
-        if zipped:
-            at = data.find(_MEMBER, at)
-        else:
-            at = m.start() if (m := _VERSION_LINE.search(data, at)) else -1
-        if at < 0:
-            return len(data)
+            end = _next_line(data, at + 1)
+            yield Parsed(at, end, is_gap=True, reason=str(e))
+        at = end
+
+
+def _next_line(data: bytes, at: int) -> int:
+    """Where the next version line of a whole record stands, or the end."""
+    while m := _VERSION_LINE.search(data, at):
         try:
-            _ = _read_member(data, at) if zipped else parse(data, at)
-            return at
+            parse(data, m.start())
+            return m.start()
         except Broken:
-            at += 1
+            at = m.start() + 1
+    return len(data)
+
+
+def _next_member(data: bytes, at: int) -> int:
+    """Where the next member stands that is whole or yields a record, or the end."""
+    while (at := data.find(_MEMBER, at)) >= 0:
+        content, _, error = _inflate(data, at)
+        if not error or any(not r.is_gap for r in _plain(content)):
+            return at
+        at += 1
+    return len(data)
+
+
+def salvage(data: bytes) -> Iterator[Parsed]:
+    """The records of an archive in order, with a gap wherever bytes had to be skipped."""
+    zip_at, plain = data.find(_MEMBER), _VERSION_LINE.search(data)
+    if zip_at < 0 or (plain is not None and plain.start() < zip_at):
+        yield from _plain(data)
+        return
+    at = 0
+    while at < len(data):
+        content, end, error = _inflate(data, at)
+        if error:
+            end = _next_member(data, at + 1)
+        lost = len(content)
+        for found in _plain(content):
+            if error and found.is_gap and found.end == len(content):
+                lost = found.offset  # what the broken member goes on with is one gap with its rest
+                break
+            found.inner, found.inner_end, found.offset, found.end = found.offset, found.end, at, end
+            yield found
+        if error:
+            yield Parsed(at, end, is_gap=True, reason=error, inner=lost)
+        at = end
 
 
 def _page(urn: str) -> str:
@@ -259,7 +289,7 @@ def _salvaged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 name = _page(h.get("warc-record-id", ""))
                 out.append((path, r.offset, kind, h.get("warc-target-uri"), _page(h["warc-refers-to"]) if "warc-refers-to" in h else None,
                             n, h.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(name) if re.fullmatch(r"-?\d+", name) else None,
-                            r.payload, r.is_gap, r.end if r.is_gap else None, r.reason or None))
+                            r.payload, r.is_gap, r.end if r.is_gap else None, r.reason or None, r.inner, r.inner_end))
                 size += len(r.payload)
                 if size > 4 << 20:
                     yield batch_of(out)

@@ -74,11 +74,36 @@ def test_salvage():
         assert good == [0, 1, 2, 3, 4, 5, 7, 8, 9, 10, 11]
         assert gaps[0] == (ends[6], ends[6] + len(parts[6]) // 2) and len(gaps) == 2
         assert gaps[1][1] - gaps[1][0] == len(b"junk \x1f\x8b\x08 junk")
-        good, gaps = ids(whole[:-9])
-        assert good == list(range(11)) and gaps == [(ends[11], len(whole) - 9)]
+        # the last record is whole if only the end of its member is cut
+        for cut, last in ((9, zipped), (len(parts[11]) - 40, False)):
+            good, gaps = ids(whole[:-cut])
+            assert good == list(range(12 if last else 11)) and gaps == [(ends[11], len(whole) - cut)]
     assert list(W.salvage(b"")) == []
 
 
+def test_salvage_inside_a_member():
+    parts = archive(6, zipped=False)
+    at = parts[3].index(b"page 3 page 3")
+    broken = parts[:3] + [parts[3][:at] + b"PAGE" + parts[3][at + 4:]] + parts[4:]
+    inner = [sum(map(len, broken[:i])) for i in range(7)]
+    one, before, behind = gzip.compress(b"".join(broken)), gzip.compress(b"".join(parts[:2])), gzip.compress(parts[5])
+    # one wrong digest among six records of a member: the other five stay
+    found = list(W.salvage(before + one + behind))
+    assert [int(W._page(r.headers["warc-record-id"])) for r in found if not r.is_gap] == [0, 1, 0, 1, 2, 4, 5, 5]
+    gap, = (r for r in found if r.is_gap)
+    assert (gap.offset, gap.end, gap.inner, gap.inner_end) == (len(before), len(before) + len(one), inner[3], inner[4]) and "digest" in gap.reason
+    # without compression the same
+    assert ids(b"".join(broken)) == ([0, 1, 2, 4, 5], [(inner[3], inner[4])])
+    # a member that breaks off or breaks: its first records and the members behind it stay
+    rnd = random.Random(2)
+    whole = gzip.compress(b"".join(W.record(i, "u", rnd.randbytes(3000), None, False) for i in range(8)))
+    for k in (len(whole) // 2, len(whole) * 3 // 4):
+        for data in (whole[:k], whole[:k] + behind, whole[:k] + rnd.randbytes(50) + whole[k + 50:] + behind):
+            good, gaps = ids(data)
+            assert good[:3] == [0, 1, 2] and good[-1] == (5 if len(data) > k else good[-1])
+            assert gaps[0][0] == 0 and gaps[0][1] == (len(data) - len(behind) if len(data) > k else len(data))
+
+
 def test_read_logs_gaps(spark, tmp_path):
     parts = archive()
     (tmp_path / "a.warc").write_bytes(b"".join(archive(zipped=False)[:3]) + b"WARC/1.1\r\nbroken")
