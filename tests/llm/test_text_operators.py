@@ -142,6 +142,59 @@ def test_secrets(spark):
     assert sum("markov" in s for i, s in found.items() if i not in planted) <= 2
 
 
+def labelled_model(spark):
+    """The model and held-out histograms of the smallest driver table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    model = secrets.train(docs)
+    return model, secrets.held_out(docs, model)
+
+
+def test_secret_threshold_on_held_out_samples(spark):
+    model, seen = labelled_model(spark)
+    at = secrets.threshold(seen)
+    got = secrets.shares(seen, at)
+    assert got["false_tokens"] == got["false_joined"] == 0 and at >= secrets.PRIOR
+    assert got["recall_random"] >= 0.98 and got["recall_values"] >= 0.98 and seen[3].sum() > 100
+    ordinary = ["getElementsByClassName", "user_account_settings", "2024-01-02", "src/main/util", "1234567890", "DonauDampfschiffe", "MAX_LINE_COUNT"]
+    assert [w for w in ordinary if model.ratio(w) >= at] == []
+    rnd = random.Random(8)
+    for alphabet in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+                     "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+        planted = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(16, 40))) for _ in range(200)]
+        assert sum(model.ratio(w) >= at for w in planted) >= 195, alphabet
+    short = ["".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(10)) for _ in range(200)]
+    assert sum(model.ratio(w) >= at for w in short) >= 100  # no least length
+
+
+def test_secret_ratio_against_a_plain_version(spark):
+    """Counts, rates and ratios recomputed with dictionaries."""
+    from math import log
+    rnd = random.Random(9)
+    rows = [(i, prose(rnd, "bb", 30) + f" token={'aZ3' * 4}{i} Über-a_b9 x", None, None, None) for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    counts = [Counter(), Counter()]
+    for i, text, *_ in rows:
+        if crc32(str(i).encode()) % 10 == 0:
+            continue
+        spans = secrets.base_spans(text)
+        outside = "".join(" " if any(a <= k < b for a, b, _ in spans) else c for k, c in enumerate(text))
+        for n, tokens in ((0, secrets.values(text, spans) + secrets.random_strings(i)),
+                          (1, re.findall("[A-Za-z0-9+/_=-]+", outside) + secrets.joined(text))):
+            for t in tokens:
+                counts[n].update(zip("^" + t, t + "^"))
+    chars = "^" + secrets.CHARACTERS
+
+    def rate(c, x, y):
+        total = sum(c.values())
+        spread = {z: (sum(n for (_, b), n in c.items() if b == z) + 1) / (total + len(chars)) for z in chars}
+        row = sum(n for (a, _), n in c.items() if a == x)
+        return (c[x, y] + spread[y]) / (row + sum(spread.values()))
+    model = secrets.train(docs)
+    for token in ("und", "sch_Ung9", "x", "Zz/+="):
+        want = sum(log(0.5 * rate(counts[0], x, y) + 0.5 / len(chars)) - log(rate(counts[1], x, y)) for x, y in zip("^" + token, token + "^"))
+        assert abs(model.ratio(token) - want) < 1e-9
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert quality.judge(empty).count() == 0 and quality.keep(empty).count() == 0 and secrets.find(empty).count() == 0
