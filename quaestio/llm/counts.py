@@ -125,7 +125,3 @@ def look_up(keys: np.ndarray, known: np.ndarray, values: np.ndarray, default: np
     at = np.searchsorted(known, keys)
     at[at == len(known)] = 0
     return np.where(known[at] == keys, values[at], default)
-
-
-def batches(rows: Iterator[pa.RecordBatch]) -> pa.Table:
-    return pa.Table.from_batches(list(rows))

@@ -122,6 +122,15 @@ def _cell(p: np.ndarray) -> np.ndarray:
         return np.where(p > 0, 1 + np.floor(-2 * np.log2(p)), 0).astype(np.int64)
 
 
+def _sizes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct words and tokens of the ranges' statistics, summed."""
+    total = np.zeros(2, np.int64)
+    for batch in rows:
+        for counts in batch.column("counts"):
+            total += np.frombuffer(counts.as_buffer(), "<i8")[:2]
+    yield pa.RecordBatch.from_arrays([pa.array(total[:1]), pa.array(total[1:])], names=["n_words", "n_train"])
+
+
 def _held_out(n_train: int):
     def run(table: pa.Table, asked: pa.Table) -> pa.Table:
         if not len(table):
@@ -212,18 +221,18 @@ def score(docs: DataFrame) -> DataFrame:
     sizes = rows.groupBy(kind.alias("kind")).agg(F.sum(F.octet_length("text")).alias("n")).collect()
     size = {r.kind: r.n or 0 for r in sizes}
     blocks = F.element_at(F.array(*[F.lit(max(1, size.get(k, 0) // BLOCK_BYTES)) for k in range(3)]), kind + 1)
-    dealt = (rows.withColumn("block", kind + 3 * F.pmod(F.xxhash64("doc_id", "text"), blocks)).select("doc_id", "text", "block")
-             .mapInArrow(_pack, PACKED))
+
+    def deal(part: DataFrame) -> DataFrame:
+        return (part.withColumn("block", kind + 3 * F.pmod(F.xxhash64("doc_id", "text"), blocks)).select("doc_id", "text", "block")
+                .mapInArrow(_pack, PACKED))
+    dealt = deal(rows)
     ranges = C.n_ranges(sum(size.values()))
     asked = dealt.groupBy("block").applyInArrow(_ask(ranges), C.FIELDS)
     answered = stored(C.totals(asked), "lm-counts")
-    n_words = n_train = 0
-    # one row per range, whatever the corpus holds
-    for r in answered.filter("block = -1").select("counts").toLocalIterator():
-        distinct, tokens, _, _ = np.frombuffer(r.counts, "<i8").tolist()
-        n_words, n_train = n_words + distinct, n_train + tokens
+    n_words, n_train = (x or 0 for x in answered.filter("block = -1").select("counts").mapInArrow(_sizes, "n_words long, n_train long")
+                        .agg(F.sum("n_words"), F.sum("n_train")).first())
     answered = answered.filter("block >= 0")
-    cells = (dealt.filter(F.col("fold_kind") == FITTED).groupBy("block").cogroup(
+    cells = (deal(rows.filter(kind == FITTED)).groupBy("block").cogroup(
         answered.filter(F.col("block") % 3 == FITTED).groupBy("block"))
         .applyInArrow(_held_out(n_train), "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect())
     weights = fit_weights(np.array([r.cell for r in cells], np.int64), np.array([r.n for r in cells], np.int64), n_words)
