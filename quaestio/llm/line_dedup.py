@@ -185,7 +185,7 @@ def _at_places(docs: DataFrame, places: DataFrame) -> DataFrame:
     """The rows of docs (row_id, row_hash, text) that ``places`` (stored: _row_id,
     _row_hash, _pos) names, with the positions it gives; null where it names none."""
     row_id, row_hash = _row_key(F.col("doc_id"), F.col("text"))
-    return docs.join(small(places, 200), (row_id == F.col("_row_id")) & (row_hash == F.col("_row_hash")), "left")
+    return docs.join(small(places, 48 + 4 * F.size("_pos")), (row_id == F.col("_row_id")) & (row_hash == F.col("_row_hash")), "left")
 
 
 def _by_row(places: DataFrame, name: str) -> DataFrame:

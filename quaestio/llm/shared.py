@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only when its counted rows times its row width stay under this.
@@ -42,7 +42,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, row_bytes: int) -> DataFrame:
-    """``df`` (a stored table) with a broadcast hint if its counted size is under
-    BROADCAST_BYTES; otherwise as it is, so that the join shuffles."""
-    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+def small(df: DataFrame, row_bytes: int | Column) -> DataFrame:
+    """``df`` (a stored table) with a broadcast hint if its size is under BROADCAST_BYTES;
+    otherwise as it is, so that the join shuffles. ``row_bytes`` is the width of a row, as
+    an expression where rows hold lists."""
+    size = df.agg(F.sum(F.lit(row_bytes) if isinstance(row_bytes, int) else row_bytes)).first()[0] or 0
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
