@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from parse_fixtures import SENT_SCHEMA
 from quaestio.functions import vocab
-from quaestio.operators import rules, tokens
+from quaestio.operators import rules, token_table, tokens
 from quaestio.plans import parse_oracle as P
 
 PER_LANGUAGE = 5000
@@ -145,3 +145,18 @@ def test_paths_to_the_root(spark, both):
             while heads[want[-1]] != want[-1]:
                 want.append(heads[want[-1]])
             assert path == want
+
+
+def test_word_facts_of_token_rows(spark, both):
+    """L2-L9, L16, L18 by joins over token rows, and L12, against the twin."""
+    con, _, rows = both
+    part = rows[::8]
+    df = spark.createDataFrame([(sid, language, text, [(*t[:8], {k: v.split(",") for k, v in t[8].items()}) for t in toks])
+                                for sid, language, text, toks in part], SENT_SCHEMA)
+    flat = token_table.token_rows(df, "sent_id")
+    got = {(r[0], r[1]): tuple(r[2:]) for r in token_table.word_facts(flat, "sent_id").select("sent_id", "i", *token_table.FACTS).collect()}
+    kept = {r[0] for r in part}
+    want = {(r[0], r[1]): tuple(r[2:]) for r in con.execute(f"SELECT sid, i, {', '.join(token_table.FACTS)} FROM got_word").fetchall() if r[0] in kept}
+    assert not differing(got, want)[:5] and len(got) > 10_000
+    finite = {(r.sent_id, r.i) for r in token_table.finite_verbs(flat, "sent_id").collect()}
+    assert finite == {tuple(r) for r in con.execute("SELECT sid, i FROM got_word WHERE fin AND NOT skipped").fetchall() if r[0] in kept}
