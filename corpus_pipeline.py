@@ -3,6 +3,13 @@
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns
 a DataFrame, which ``run`` writes as Parquet and reads again as the next one's docs. All
 but the last return the columns of documents.
+
+Defined results, for every stage: a null or empty text has no words, so the quality rules
+reject it; a null doc_id is carried along and comes after all others where the smallest
+one stays; rows that repeat in full are one group of copies, of which one row stays; among
+documents of equal standing the smallest doc_id stays. Very long texts are read whole. Columns
+beyond those of documents pass through unchanged, whatever their names, up to the mix; the last
+stage returns pieces and their places alone. An empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations
@@ -15,7 +22,8 @@ from quaestio.llm.shared import stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the label model reject go."""
+    """Documents that the base rules or the label model reject go: null and empty texts among
+    them (under 50 words). Rows that repeat are judged alike."""
     return quality.keep(docs)
 
 
@@ -39,12 +47,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it."""
+    """Every document as often as the mix of its source takes it; a null source is a source
+    of its own, ties of the hash order fall to the smaller doc_id."""
     return mixing.emit(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 2048 tokens."""
+    """The pieces of all documents and their places in sequences of 2048 tokens; longer
+    documents are cut, a null text would be its separator alone."""
     return packing.pack(docs)
 
 
