@@ -15,8 +15,10 @@ Every piece then gets its rank among those of its length (a distributed numberin
 so that a length shared by very many pieces is split) and with it its sequence and place.
 
 Nulls and odd input: a null text is empty and consists of the separator; a null doc_id is
-carried along. Rows may repeat. Empty tables give empty results; further columns are
-ignored.
+carried along. Rows may repeat: their pieces are equal, and which copy gets which place is
+open. Pieces of equal length are told apart by a hash of their document, number and ids, so
+a rerun gives the same places. A very long text is tokenized whole, in memory of some ten times
+its size. Empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +36,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestio.llm.shared import stored
+from quaestio.llm.words import slices, texts
 
 CAPACITY = 2048
 SEPARATOR = 0
-#: Words whose ids a worker remembers in each of two generations: when the newer is full it
-#: becomes the older, from which words that come again are taken over.
-REMEMBERED = 150_000
+#: Words whose ids a task remembers, and text whose new words are tokenized together.
+REMEMBERED, GROUP_BYTES = 120_000, 1 << 19
 #: Pieces of one length that a numbering group holds on average.
 GROUP_ROWS = 8192
 
@@ -56,100 +59,155 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class TokenIds(dict):
-    """Text -> little-endian 32-bit ids, remembering words. A word here is a run without
-    white space: the tokenizer drops white space and never joins across it. Of a word of
-    lower-case Latin-1 letters before closing ASCII punctuation, the letters are one
-    unit of the vocabulary's merges, which are asked for directly."""
+#: Stands behind a word handed to the ranked vocabulary, where its tokens carry a word end.
+END = "\x00"
 
-    _odd = re.compile("[\x1c-\x1f]")
-    _plain = re.compile("([a-zß-öø-ÿA-ZÀ-ÖØ-Þ]+)([.,!?;:|]*)")
+
+class TokenIds:
+    """Texts -> little-endian 32-bit ids, by pieces. White space and the tokenizer's own
+    splitting rule cut a text into pieces that are tokenized apart; a text (or word) of
+    Latin-1 characters is lower-cased and cut here, any other word is given to the tokenizer.
+    Each distinct new piece of a group of texts is tokenized once, all in one call by the
+    ranks of the vocabulary."""
+
+    _odd = re.compile("[\x00\x1c-\x1f]")  # white space for Python alone, and the byte that marks a word end here
+    _letters, _digits = "a-zªµºß-öø-ÿ", "0-9²³¹¼½¾"
+    #: The tokenizer's splitting rule within Latin-1 (a fixed value of its file).
+    _piece = re.compile(f"[{_letters}]+|[{_digits}]|'(?:[stmd]|re|ve|ll)|[^\\s{_letters}{_digits}]+")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        super().__init__()
-        self.older: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.known: dict[str, bytes] = {}
         self.spaceless = "Replace" in str(self.tokenizer.normalizer) and self.encode("a b") == self.encode("a") + self.encode("b")
-        self.bytewise = self._byte_letters() if self.spaceless else None
+        self.ranked = self._ranked() if self.spaceless else None
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _byte_letters(self) -> dict[int, str] | None:
-        """The letter that stands for each byte in the vocabulary (printable ones for
-        themselves, the rest from code point 256 on), if asking the merges agrees with
-        the tokenizer on a probe."""
-        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    def _ranked(self):
+        """The vocabulary as ranks of byte strings, a word end as the byte of END, if that agrees
+        with the tokenizer on a probe. An id is the rank of its merge, those of a last letter
+        with its word end come first."""
+        import json
+
+        import tiktoken
+        model = json.loads(self.tokenizer.to_str())["model"]
+        suffix, own = model.get("end_of_word_suffix"), {*range(33, 127), *range(161, 173), *range(174, 256)}
         rest = iter(range(256, 512))
-        self.bytewise = {b: chr(b) if b in own else chr(next(rest)) for b in range(256)}
-        probe = ["the", "straße", "élève", "zzqxj", "niño", "THE", "ÀÉ"]
-        return self.bytewise if all(self.merged(w) == self.encode(w) for w in probe) else None
-
-    def merged(self, letters: str) -> bytes:
-        letters = letters.lower()
-        if not letters.isascii():  # an ASCII letter stands for itself
-            letters = "".join(map(self.bytewise.__getitem__, letters.encode()))
-        return b"".join([x.id.to_bytes(4, "little") for x in self.tokenizer.model.tokenize(letters)])
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= REMEMBERED:
-            self.older = dict(self)
-            self.clear()
-        if (ids := self.older.get(word)) is not None:
-            self[word] = ids
-            return ids
-        if self.bytewise and (m := self._plain.fullmatch(word)):
-            letters, tail = m.groups()
-            if tail:
-                ids = self[letters.lower()] + (self.get(tail) or self.setdefault(tail, self.encode(tail)))
+        byte_of = {(chr(b) if b in own else chr(next(rest))): b for b in range(256)}
+        if not suffix:
+            return None
+        ranks, self.ends = {}, np.zeros(max(model["vocab"].values()) + 1, bool)
+        for token, i in model["vocab"].items():
+            letters = token.removesuffix(suffix)
+            if all(c in byte_of for c in letters):
+                data = bytes(byte_of[c] for c in letters)
+                if 0 not in data:  # the byte that marks a word end here
+                    ranks[data + (b"\0" if letters != token else b"")] = i
+                    self.ends[i] = letters != token
+        ranks[b"\0"] = next(i for t, i in model["vocab"].items() if byte_of.get(t) == 0)
+        self.ranked = tiktoken.Encoding("words", pat_str=f"[^{END}]*{END}", mergeable_ranks=ranks, special_tokens={})
+        probe = "The straße, élève's zzqxj niño a àé 12½ don't; «x» it'll ªº µ¿..!"
+        pieces = self._piece.findall(probe.lower())
+        known = self._by_ranks(pieces)
+        return self.ranked if b"".join(known[x] for x in pieces) == self.encode(probe) else None
+
+    def _by_ranks(self, words: list[str]) -> dict[str, bytes]:
+        ids = np.array(self.ranked.encode_ordinary(END.join([*words, ""])), "<u4")
+        at = [0, *(np.flatnonzero(self.ends[ids]) * 4 + 4).tolist()]
+        data = ids.tobytes()
+        return {w: data[lo:hi] for w, lo, hi in zip(words, at[:-1], at[1:], strict=True)}
+
+    def cut(self, text: str) -> list[str] | None:
+        """The pieces of a text, words that are not cut here among them; None where its white
+        space is in doubt."""
+        if self._odd.search(text):
+            return None
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            out = []
+            for word in text.split():
+                if max(word) <= "ÿ":
+                    out += self._piece.findall(word.lower())
+                else:
+                    out.append(word)
+            return out
+        return self._piece.findall(text.lower())
+
+    def learn(self, pieces: set[str]) -> None:
+        own = []
+        for piece in pieces:
+            if max(piece) <= "ÿ":
+                own.append(piece)
             else:
-                low = letters.lower()
-                ids = self[low] if low != letters else self.merged(letters)
-        else:
-            ids = self.encode(word)
-        self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if not self.spaceless or self._odd.search(text):
-            return self.encode(text)
-        return b"".join(map(self.__getitem__, text.split()))
+                self.known[piece] = self.encode(piece)
+        if own:
+            self.known.update(self._by_ranks(own))
+
+    def of_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text. Pieces stay known up to REMEMBERED, then only those of the group in hand."""
+        if not self.ranked:
+            return [self.encode(t) for t in texts]
+        lists = [self.cut(t) for t in texts]
+        here = set(chain.from_iterable(x for x in lists if x))
+        fresh = here.difference(self.known)
+        if len(self.known) + len(fresh) > REMEMBERED:
+            self.known = {w: self.known[w] for w in here.intersection(self.known)}
+        self.learn(fresh)
+        return [self.encode(t) if x is None else b"".join(map(self.known.__getitem__, x)) for t, x in zip(texts, lists)]
+
+    def forget(self) -> None:
+        self.known = {}
 
 
 _loaded: dict[str, TokenIds] = {}
 
 
 def token_ids(path: str) -> TokenIds:
+    """The tokenizer of a worker; its words are forgotten when a task ends (see _cut)."""
     if path not in _loaded:
         _loaded[path] = TokenIds(path)
     return _loaded[path]
 
 
+def _salt(doc: int | None, piece: int, crc: int) -> int:
+    """A number that splits large groups, the same in every run."""
+    x = ((doc or 0) * 0x9E3779B97F4A7C15 + piece * 0xBF58476D1CE4E5B9 + crc * 0x94D049BB133111EB) % (1 << 64)
+    x ^= x >> 31
+    return x * 0xD6E8FEB86659FD93 % (1 << 64) >> 8
+
+
 def _cut(path: str, capacity: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, closing = token_ids(path), np.array([SEPARATOR], "<u4").tobytes()
-        seed = int.from_bytes(os.urandom(7), "little")
-        for batch in rows:
-            out = []
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                own = ids.of(text.as_py() or "") + closing
-                for k, at in enumerate(range(0, len(own), 4 * capacity)):
-                    piece = own[at:at + 4 * capacity]
-                    seed = (seed * 6364136223846793005 + 1442695040888963407) % (1 << 63)
-                    out.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece), seed >> 8))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6,
-                                                (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        try:
+            for batch in rows:
+                column, doc_ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
+                for first, last in slices(column, GROUP_BYTES):
+                    out = []
+                    for doc, own in zip(doc_ids[first:last], ids.of_all(column.slice(first, last - first).to_pylist())):
+                        own += closing
+                        for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                            piece = own[at:at + 4 * capacity]
+                            crc = zlib.crc32(piece)
+                            out.append((doc, k, at // 4, len(piece) // 4, crc, _salt(doc, k, crc)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 6,
+                                                        (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64()))],
+                        names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
+        finally:
+            ids.forget()
+            pa.default_memory_pool().release_unused()
     return run
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """The pieces of every document; ``salt`` is a random number that splits large groups
-    (the table is written at once, so it is drawn only once)."""
+    """The pieces of every document; ``salt`` splits large groups. It is a hash of the piece, so
+    that reruns agree; pieces of equal hash are copies of one row."""
     cut = _cut(tokenizer or default_tokenizer(), capacity)
     return stored(docs.select("doc_id", "text").mapInArrow(cut, PIECES), "pieces")
 

@@ -26,13 +26,18 @@ TEXTS = ["", "  \n", "Hello, World! it's the élève's Straße.", "ÀÉ|x ... do
          "İstanbul ΣΑΣ ﬁ é e ́x", "word " * 5000, "a" * 9000, "x​y \U0001F600 z", "ſtrange K ªº µ", "ABC,, de;f gh!?"]
 
 
-def test_ids():
+def test_ids(monkeypatch):
     ids = P.token_ids(P.default_tokenizer())
-    assert ids.bytewise
+    assert ids.ranked
     rnd = random.Random(1)
     more = ["".join(rnd.choice("abcéßÉZ .,'!0\n") for _ in range(60)) for _ in range(300)]
-    for text in TEXTS + more:
-        assert np.frombuffer(ids.of(text), "<u4").tolist() == tokenizer().encode(text, add_special_tokens=False).ids, text
+    words = [" ".join("".join(rnd.choice("aàbcdeéèßfghiñlmnoöprstuüvz") for _ in range(rnd.randint(1, 14))) + rnd.choice(["", ",", "."])
+                      for _ in range(400)) for _ in range(10)]
+    every = TEXTS + more + words
+    for text, own in zip(every, ids.of_all(every), strict=True):
+        assert np.frombuffer(own, "<u4").tolist() == tokenizer().encode(text, add_special_tokens=False).ids, text
+    monkeypatch.setattr(P, "REMEMBERED", 50)
+    assert [x for t in every for x in ids.of_all([t])] == ids.of_all(every)
 
 
 def check(rows, got, capacity=P.CAPACITY):
