@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from quaestio.llm import counts as C
 from quaestio.llm.components import components
 from quaestio.llm.shared import small, stored
-from quaestio.llm.words import mix, slices, texts, word_hashes
+from quaestio.llm.words import mix, release, slices, texts, word_hashes
 
 #: Words of a shingle and least Jaccard similarity of linked sets in op9's contract.
 WIDTH, SIMILARITY = 3, Fraction(9, 10)
@@ -92,9 +92,9 @@ def sketch_size(n: int, similarity: Fraction = SIMILARITY) -> int:
 
 
 def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text of a text column."""
     for first, last in slices(column):
-        hashes, counts = word_hashes(column.slice(first, last - first))
+        hashes, counts = word_hashes(texts(column.slice(first, last - first)))
         at = 0
         m = [np.uint64(x) for x in _MULTIPLIERS]
         whole = hashes[:max(0, len(hashes) - width + 1)] * m[0]
@@ -121,8 +121,8 @@ def _fingerprint(members: np.ndarray, salt: int) -> int:
 def _sketches(width: int, similarity: Fraction):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            column, out = texts(batch.column("text")), ([], [], [], [])
-            for members in shingle_sets(column, width):
+            out = [], [], [], []
+            for members in shingle_sets(batch.column("text"), width):
                 n = len(members)
                 head = members if n <= MOST_LIGHT else members[:sketch_size(n, similarity)]
                 for x, v in zip(out, (n, _fingerprint(members, 0), _fingerprint(members, 1), head.tobytes())):
@@ -131,13 +131,17 @@ def _sketches(width: int, similarity: Fraction):
                 [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"),
                  *[pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]],
                 names=["doc_id", "text_hash", "n_shingles", "node", "node2", "sketch"])
+        release()
     return run
 
 
-def subset_keys(members: np.ndarray, most: int, similarity: Fraction = SIMILARITY) -> Iterator[tuple[int, int]]:
-    """(key, role) of every subset that a light set can share with a partner of at most
-    ``most`` members. Role 1: the smaller set of the pair, 2: the larger, 3: equal sizes."""
-    n, total = len(members), members.sum(dtype=np.uint64)
+def subset_keys(members: np.ndarray, most: int, similarity: Fraction = SIMILARITY) -> Iterator[tuple[int, int, int]]:
+    """(key, key2, role) of every subset that a light set can share with a partner of at most
+    ``most`` members; the keys are 128 bits of a sum of the subset's members, mixed twice. Role
+    1: the smaller set of the pair, 2: the larger, 3: equal sizes."""
+    n = len(members)
+    both = members, mix(members ^ np.uint64(_MULTIPLIERS[2]))
+    total = [m.sum(dtype=np.uint64) for m in both]
     for other in range(must_share(n, similarity), min(most, most_members(n, similarity)) + 1):
         a, b = min(n, other), max(n, other)
         least = least_overlap(a, b, similarity)
@@ -145,9 +149,10 @@ def subset_keys(members: np.ndarray, most: int, similarity: Fraction = SIMILARIT
             continue
         role = 3 if a == b else 1 if n == a else 2
         name = np.uint64((a * 1000 + b) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-        away = [sum(map(int, x)) & (1 << 64) - 1 for x in combinations(members.tolist(), n - least)]
-        for key in mix((total - np.array(away, np.uint64)) ^ name).astype(np.int64).tolist():
-            yield key, role
+        keys = [mix((t - np.array([sum(x) & (1 << 64) - 1 for x in combinations(m.tolist(), n - least)], np.uint64)) ^ name)
+                .astype(np.int64).tolist() for m, t in zip(both, total)]
+        for key, key2 in zip(*keys):
+            yield key, key2, role
 
 
 def n_subsets(n: int, most: int, similarity: Fraction = SIMILARITY) -> int:
@@ -158,16 +163,17 @@ def n_subsets(n: int, most: int, similarity: Fraction = SIMILARITY) -> int:
 def _light_keys(most: int, similarity: Fraction):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out = [(k, r, node) for node, s in zip(batch.column("node").to_pylist(), batch.column("sketch").to_pylist())
-                   for k, r in subset_keys(np.frombuffer(s, np.uint64), most, similarity)]
+            out = [(*key, node) for node, s in zip(batch.column("node").to_pylist(), batch.column("sketch").to_pylist())
+                   for key in subset_keys(np.frombuffer(s, np.uint64), most, similarity)]
             for at in range(0, len(out), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out[at:at + 100_000])],
-                                                 names=["key", "role", "node"])
+                                                 names=["key", "key2", "role", "node"])
     return run
 
 
 def _ask(ranges: int, column: str):
     def run(table: pa.Table) -> pa.Table:
+        release()
         keys, own = C.summed(np.frombuffer(b"".join(x.as_py() for x in table[column]), np.uint64))
         return pa.Table.from_batches([C.ask(table["block"][0].as_py(), keys, own, ranges)])
     return run
@@ -184,6 +190,7 @@ def _known(table: pa.Table, answered: pa.Table, column: str):
 
 def _live(similarity: Fraction):
     def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        release()
         if not len(table):
             return pa.table({"node": pa.array([], pa.int64())})
         _, total, lengths = _known(table, answered, "sketch")
@@ -204,6 +211,7 @@ POSTING = ("token", "node", "n", "place", *SHAPE)
 
 def _postings(similarity: Fraction):
     def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        release()
         out: list[list[np.ndarray]] = [[] for _ in POSTING]
         if len(table):
             flat, total, lengths = _known(table, answered, "members")
@@ -226,10 +234,11 @@ def _postings(similarity: Fraction):
 def _full_sets(width: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
-            out = [(_fingerprint(x, 0), _fingerprint(x, 1), x.tobytes()) for x in shingle_sets(texts(batch.column("text")), width)]
+            out = [(_fingerprint(x, 0), _fingerprint(x, 1), x.tobytes()) for x in shingle_sets(batch.column("text"), width)]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 3,
                                                                              (pa.int64(), pa.int64(), pa.binary()))],
                                              names=["node", "node2", "members"])
+        release()
     return run
 
 
@@ -334,10 +343,10 @@ def classes(docs: DataFrame, width: int = WIDTH, similarity: float | Fraction =
                    .agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "nodes")
     light = boundary(nodes) if similarity == SIMILARITY else boundary(nodes, similarity)
     keys = (nodes.filter(F.col("n_shingles") <= light).select("node", "sketch")
-            .mapInArrow(_light_keys(light, similarity), "key long, role long, node long"))
-    meet = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("w"), F.bit_or("role").alias("roles"))
-    meet = meet.filter((F.col("v") != F.col("w")) & (F.col("roles") == 3)).select("key", "v")
-    links = stored(keys.join(meet, "key").select(F.col("node").alias("u"), "v").filter("u != v").distinct(), "links-light")
+            .mapInArrow(_light_keys(light, similarity), "key long, key2 long, role long, node long"))
+    meet = keys.groupBy("key", "key2").agg(F.min("node").alias("v"), F.max("node").alias("w"), F.bit_or("role").alias("roles"))
+    meet = meet.filter((F.col("v") != F.col("w")) & (F.col("roles") == 3)).select("key", "key2", "v")
+    links = stored(keys.join(meet, ["key", "key2"]).select(F.col("node").alias("u"), "v").filter("u != v").distinct(), "links-light")
     found = _large_links(docs, nodes, light, width, similarity)
     if found is None:
         return rows, components(links)
