@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from quaestio.llm.words import release
+
 #: block -1 holds what a range knows about all blocks: distinct counted keys and their sum, by kind.
 FIELDS = "range long, block long, keys binary, counts binary"
 SCHEMA = pa.schema([("range", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
@@ -76,6 +78,7 @@ def ask(block: int, keys: np.ndarray, counts: np.ndarray, ranges: int) -> pa.Rec
 
 
 def _answer(table: pa.Table) -> pa.Table:
+    release()
     blocks = table["block"].to_pylist()
     parts = [unpack_sorted(x.as_py()) for x in table["keys"]]
     own = np.concatenate([unpack_counts(x.as_py()) for x in table["counts"]])

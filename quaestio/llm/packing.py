@@ -36,14 +36,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quaestio.llm.shared import stored
-from quaestio.llm.words import slices, texts
+from quaestio.llm.words import release, slices
 
 CAPACITY = 2048
 SEPARATOR = 0
 #: Words whose ids a task remembers, and text whose new words are tokenized together.
 REMEMBERED, GROUP_BYTES = 120_000, 1 << 19
 #: Pieces of one length that a numbering group holds on average.
-GROUP_ROWS = 8192
+GROUP_ROWS = 1024
 
 #: Fillings the search tries at least, and steps for each distinct length: a whole solution
 #: of a full histogram takes about 1.3 steps a length.
@@ -186,10 +186,10 @@ def _cut(path: str, capacity: int):
         ids, closing = token_ids(path), np.array([SEPARATOR], "<u4").tobytes()
         try:
             for batch in rows:
-                column, doc_ids = texts(batch.column("text")), batch.column("doc_id").to_pylist()
+                column, doc_ids = batch.column("text"), batch.column("doc_id").to_pylist()
                 for first, last in slices(column, GROUP_BYTES):
                     out = []
-                    for doc, own in zip(doc_ids[first:last], ids.of_all(column.slice(first, last - first).to_pylist())):
+                    for doc, own in zip(doc_ids[first:last], ids.of_all([x or "" for x in column.slice(first, last - first).to_pylist()])):
                         own += closing
                         for k, at in enumerate(range(0, len(own), 4 * capacity)):
                             piece = own[at:at + 4 * capacity]
@@ -201,7 +201,7 @@ def _cut(path: str, capacity: int):
                         names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"])
         finally:
             ids.forget()
-            pa.default_memory_pool().release_unused()
+            release()
     return run
 
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quaestio.llm.shared import small, stored
-from quaestio.llm.words import words
+from quaestio.llm.words import release, words
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 
@@ -102,6 +102,7 @@ def _rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out.append((*base, n < 50 or 100 * repeat > 50 * n, vote(features)))
         cols = [pa.array(x, t) for x, t in zip(zip(*out) if out else [[]] * 7, [pa.int64()] * 5 + [pa.bool_(), pa.string()])]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), *cols], names=["doc_id", "text_hash", *names])
+    release()
 
 
 class LabelModel:

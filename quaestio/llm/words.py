@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
@@ -46,9 +47,21 @@ def words(text: str) -> list[str]:
     return WORD.findall(text) if odd else text.split()
 
 
+def release() -> None:
+    """Give the memory that finished work left behind back to the system: workers stay and
+    are reused, each would else keep the most it ever held."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """(first, last + 1) runs of rows with about ``limit`` bytes of text each."""
-    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset:column.offset + len(column) + 1]
+    if not len(column):
+        return
+    width = np.int32 if pa.types.is_string(column.type) else np.int64
+    offsets = np.frombuffer(column.buffers()[1], dtype=width)[column.offset:column.offset + len(column) + 1]
     first = 0
     while first < len(column):
         last = int(np.searchsorted(offsets, offsets[first] + limit, side="right")) - 1
