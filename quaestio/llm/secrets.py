@@ -7,14 +7,14 @@ ratio is above a threshold.
 
 Both models are trained on labelled samples of the corpus's training documents (nine in ten
 by the crc32 of doc_id). Random: the values in base spans, and for each document two
-strings of a hash of its id (hexadecimal and base64). Ordinary: every token outside of base
-spans, and identifiers made of the words of the text, neighbouring words joined as in
-``snake_case``, ``camelCase``, ``kebab-case``, ``CONSTANT_CASE``, paths, numbered names, numbers, dates.
-A secret without a base span is counted as ordinary, which so many ordinary tokens outweigh.
+strings of a hash of its id (hexadecimal and base64). Ordinary: the words of the texts (small
+letters, the first may be a capital) outside of base spans, and identifiers made of them,
+neighbouring words joined as in ``snake_case``, ``camelCase``, ``kebab-case``,
+``CONSTANT_CASE``, paths, numbered names, numbers, dates. Other tokens have no label and are not
+learned from, so secrets without a base span teach nothing, however many there are.
 
 The threshold is chosen on the documents held out: the least ratio that no more than
-FALSE_SHARE of their ordinary samples reach (words of letters in one case, and the joined
-words; other tokens have no label), and at least PRIOR, the log odds against a token being a
+FALSE_SHARE of their ordinary samples reach, and at least PRIOR, the log odds against a token being a
 secret; ``held_out`` and ``shares`` tell what it finds there. Counts and histograms are summed in Spark; their size
 depends on the alphabet and the bins alone.
 
@@ -153,6 +153,12 @@ def words_of(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[plain], ends[plain]
 
 
+def _only(code: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A coded text with these tokens alone."""
+    change = np.bincount(starts + 1, minlength=len(code) + 1) - np.bincount(ends + 1, minlength=len(code) + 1)
+    return code * np.cumsum(change)[:len(code)]
+
+
 def fold(doc: object) -> int:
     return crc32(("" if doc is None else str(doc)).encode()) % FOLDS
 
@@ -165,7 +171,8 @@ def _count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 text = text.as_py()
                 spans = base_spans(text)
                 total[0] += _pairs(_coded(values(text, spans) + random_strings(doc)))
-                total[1] += _pairs(_code(text, spans))
+                code = _code(text, spans)
+                total[1] += _pairs(_only(code, *words_of(code)))
                 total[1] += _pairs(_coded(joined(text)))
     used = np.flatnonzero(total.ravel())
     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total.ravel()[used], pa.int64())], names=["cell", "n"])

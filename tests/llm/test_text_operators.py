@@ -154,7 +154,8 @@ def test_secret_threshold_on_held_out_samples(spark):
     at = secrets.threshold(seen)
     got = secrets.shares(seen, at)
     assert got["false_tokens"] == got["false_joined"] == 0 and at >= secrets.PRIOR
-    assert got["recall_random"] >= 0.98 and got["recall_values"] >= 0.98 and seen[3].sum() > 100
+    assert got["recall_random"] >= 0.98 and seen[3].sum() > 100
+    assert not seen[2].sum() or got["recall_values"] >= 0.98  # this table may hold no base span among its held-out rows
     ordinary = ["getElementsByClassName", "user_account_settings", "2024-01-02", "src/main/util", "1234567890", "DonauDampfschiffe", "MAX_LINE_COUNT"]
     assert [w for w in ordinary if model.ratio(w) >= at] == []
     rnd = random.Random(8)
@@ -179,7 +180,7 @@ def test_secret_ratio_against_a_plain_version(spark):
         spans = secrets.base_spans(text)
         outside = "".join(" " if any(a <= k < b for a, b, _ in spans) else c for k, c in enumerate(text))
         for n, tokens in ((0, secrets.values(text, spans) + secrets.random_strings(i)),
-                          (1, re.findall("[A-Za-z0-9+/_=-]+", outside) + secrets.joined(text))):
+                          (1, [t for t in re.findall("[A-Za-z0-9+/_=-]+", outside) if re.fullmatch("[A-Za-z][a-z]*", t)] + secrets.joined(text))):
             for t in tokens:
                 counts[n].update(zip("^" + t, t + "^"))
     chars = "^" + secrets.CHARACTERS
