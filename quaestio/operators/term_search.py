@@ -3,9 +3,11 @@
 A pattern of all terms suits a few hundred of them (:mod:`quaestio.functions.keywords`).
 For more, the terms are a table: a term's key is the sequence of its word runs, a text's keys
 are its sequences of word runs of the lengths that terms have, and equal keys meet in a join.
-What stands between and around the runs is compared afterwards, literally. A text asks once
-for a sequence that it holds at several places with the same surroundings, and each key meets
-only the terms spelled from the very same words, so no frequent word multiplies the join.
+What stands between and around the runs is compared afterwards, literally. Each key meets
+only the terms spelled from the very same words, so no frequent word multiplies the join. Where
+the join shuffles, a text asks once for a sequence that it holds at several places with the same
+surroundings; repeats are dropped by a hash aggregate, as comparing the sequences of one text
+with each other grows with the square of its length.
 Terms are broadcast only if their counted size allows it; otherwise the join shuffles.
 
 The boundary rules are those of the pattern: a term's edge that is a word character needs a
@@ -24,12 +26,6 @@ from quaestio.functions.keywords import WORD_CLASS
 #: A side of a join is broadcast only when its counted bytes stay under this.
 BROADCAST_BYTES = 16 << 20
 _RUN = rf"[{WORD_CLASS}]+"
-_PIECES = rf"[^{WORD_CLASS}]*[{WORD_CLASS}]+"
-
-
-def _pieces(text: Column) -> Column:
-    """A text as (what stands before a run) + run, in order; what follows the last run is left out."""
-    return F.regexp_extract_all(text, F.lit(rf"({_PIECES})"), F.lit(1))
 
 
 def term_table(terms: DataFrame) -> DataFrame:
@@ -49,29 +45,25 @@ def _sequences(texts: DataFrame, key: list[str], text_col: str, lengths: list[in
     """The run sequences of texts: key columns, n, key, middle, before, after. ``before`` and
     ``after`` hold as many characters around the sequence as terms can compare, and one more."""
     low = F.lower(F.col(text_col))
-    pieces = F.transform(_pieces(low), lambda p: F.struct(
-        F.regexp_replace(p, rf"{_RUN}$", "").alias("gap"), F.regexp_extract(p, rf"({_RUN})$", 1).alias("run")))
-    last_gap = F.regexp_extract(low, rf"([^{WORD_CLASS}]*)$", 1)
-    runs = texts.select(*key, pieces.alias("ps"), last_gap.alias("last_gap"))
+    # gap k stands before run k, the last one behind the last run
+    runs = texts.select(*key, F.regexp_extract_all(low, F.lit(rf"({_RUN})"), F.lit(1)).alias("rs"), F.split(low, _RUN).alias("gs"))
+    rs, gs = F.col("rs"), F.col("gs")
 
     def at(n: int):
         return lambda k: sequence_at(k, n)
 
     def sequence_at(k: Column, n: int) -> Column:
-        ps = F.col("ps")
-        part = F.slice(ps, k + 1, F.lit(n))
-        first = F.get(ps, k)["gap"]
-        # the characters before: of the gap, and a word character if a run stands before it
-        before = F.concat(F.when(k > 0, F.lit("w")).otherwise(F.lit("")), first)
-        following = F.get(ps, k + n)
-        after = F.when(following.isNotNull(), F.concat(following["gap"], F.lit("w"))).otherwise(F.col("last_gap"))
-        return F.struct(F.lit(n).alias("n"), F.array_join(F.transform(part, lambda p: p["run"]), " ").alias("key"),
-                        F.array_join(F.transform(F.slice(part, 2, F.lit(n)), lambda p: p["gap"]), "\u0001").alias("middle"),
+        # the characters before: of the gap, and a word character if a run stands before it; single
+        # elements are taken, as a slice would copy the whole array for every sequence
+        before = F.concat(F.when(k > 0, F.lit("w")).otherwise(F.lit("")), F.get(gs, k))
+        after = F.concat(F.get(gs, k + n), F.when(k + n < F.size(rs), F.lit("w")).otherwise(F.lit("")))
+        return F.struct(F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(rs, k + i) for i in range(n)]).alias("key"),
+                        F.concat_ws("\u0001", *[F.get(gs, k + i) for i in range(1, n)]).alias("middle"),
                         F.right(before, F.lit(lead + 1)).alias("before"), F.left(after, F.lit(tail + 1)).alias("after"))
     every = F.flatten(F.array(*[
-        F.transform(F.when(F.size("ps") >= n, F.sequence(F.lit(0), F.size("ps") - n)).otherwise(F.array().cast("array<int>")),
+        F.transform(F.when(F.size(rs) >= n, F.sequence(F.lit(0), F.size(rs) - n)).otherwise(F.array().cast("array<int>")),
                     at(n)) for n in lengths]))
-    return runs.select(*key, F.explode(F.array_distinct(every)).alias("s")).select(*key, "s.*")
+    return runs.select(*key, F.explode(every).alias("s")).select(*key, "s.*")
 
 
 def find_terms(texts: DataFrame, terms: DataFrame, key: list[str], text_col: str = "text",
@@ -89,8 +81,8 @@ def find_terms(texts: DataFrame, terms: DataFrame, key: list[str], text_col: str
         source = source.withColumn("language", F.col(language_col))
     keys = key if "language" in key else [*key, "language"]
     asked = _sequences(source, keys, text_col, lengths, lead, tail)
-    side = F.broadcast(table) if size <= BROADCAST_BYTES else table
-    met = asked.join(side, ["language", "n", "key", "middle"])
+    on = ["language", "n", "key", "middle"]
+    met = asked.join(F.broadcast(table), on) if size <= BROADCAST_BYTES else asked.distinct().join(table, on)
     # a lead (or tail) needs its own characters and a word character beyond; none needs no word character beside it
     word = rf"[{WORD_CLASS}]"
     left = (F.when(F.col("lead") == "", ~F.right("before", F.lit(1)).rlike(word))

@@ -1,6 +1,7 @@
 """Term search by join against the pattern, with terms of all shapes and a large vocabulary."""
 
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,16 @@ def test_empty(spark):
     texts = spark.createDataFrame([(1, "a")], "id int, text string")
     assert term_search.find_terms(texts, none, ["id"], language_col=None).count() == 0
     assert term_search.find_terms(texts.limit(0), spark.createDataFrame([("a",)], "term string"), ["id"], language_col=None).count() == 0
+
+
+def test_sequences_of_a_text_are_not_compared_with_each_other(spark, monkeypatch):
+    """One text of 60,000 different words: time grows with its words, not with their pairs."""
+    text = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(60_000)) + " w7 w8")], "id int, text string")
+    terms = spark.createDataFrame([("w7 w8",), ("w59999",), ("w8 w7",)], "term string")
+    for limit in (term_search.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(term_search, "BROADCAST_BYTES", limit)
+        began = time.monotonic()
+        assert {r.term for r in term_search.find_terms(text, terms, ["id"], language_col=None).collect()} == {"w7 w8", "w59999"}
+        assert time.monotonic() - began < 60
+    plan = term_search._sequences(text.withColumn("language", F.lit("")), ["id", "language"], "text", [1, 2], 0, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan
