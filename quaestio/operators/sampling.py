@@ -59,13 +59,15 @@ def classification_sample(questions: DataFrame, k: int = PER_CLASS, seed: str =
 
 def feature_sample(questions: DataFrame, k: int = PER_FEATURE, features: list[str] = SHEET_FEATURES,
                    seed: str = DEFAULT_SEED, max_chars: int = MAX_CHARS) -> DataFrame:
-    """Unpivot the five features of the distinct short texts, then up to k distinct short texts per
-    (language, feature, value). NULL feature values are skipped (pandas groupby)."""
-    long = (questions.filter(F.length("text") < max_chars)
-            .select("language", "text", *[F.col(f).cast("boolean") for f in features]).distinct()
-            .unpivot(["language", "text"], features, "feature", "value")
-            .filter(F.col("value").isNotNull()))
-    base = short_distinct_texts(long, ["language", "feature", "value"], max_chars)
+    """Per (language, feature, value) up to k distinct short texts. NULL feature values are skipped
+    (pandas groupby). A text is shuffled once, with the values it has of every feature; the rows
+    a feature and value are distinct then, and only sampled ones move again."""
+    values = (questions.filter(F.length("text") < max_chars)
+              .select("language", "text", *[F.col(f).cast("boolean").alias(f) for f in features]).groupBy("language", "text")
+              .agg(*[x for f in features for x in (F.min(f).alias(f"min_{f}"), F.max(f).alias(f"max_{f}"))]))
+    base = (values.select("language", "text", *[F.array_distinct(F.array_compact(F.array(f"min_{f}", f"max_{f}"))).alias(f) for f in features])
+            .unpivot(["language", "text"], features, "feature", "values")
+            .select("language", "feature", F.explode("values").alias("value"), "text"))
     return sample_per_group(base, ["language", "feature", "value"], k, "text", seed)
 
 
