@@ -18,7 +18,7 @@ from quaestio.functions import text as T
 from quaestio.operators import profile, rules, sampling, sentences
 from quaestio.plans import jobs
 from quaestio.sources import posts as P
-from quaestio.sources import sinks
+from quaestio.sources import sinks, testdata
 
 Annotator = Callable[[DataFrame], DataFrame]
 
@@ -38,8 +38,10 @@ def observed_questions(questions: DataFrame, seen: Observation) -> DataFrame:
 
 
 def overwrite_datasets(df: DataFrame, path: str) -> None:
-    """Replace the partitions of the datasets that ``df`` holds; others stay."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
+    """Replace the partitions of the datasets that ``df`` holds; others stay. Rows of a dataset are
+    brought together first, large datasets in several parts: files follow the size of the
+    datasets, and not every task writes a file of every dataset."""
+    df.hint("rebalance", F.col("dataset")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("dataset").parquet(path)
 
 
 @dataclass
@@ -59,7 +61,7 @@ def run(spark: SparkSession, raw: DataFrame, out: str, annotator: Annotator, sin
     done.quality |= seen.get
     posts = P.read_table(spark, done.posts)
     seen = Observation()
-    classified = jobs.classify_questions(sentences.question_candidates(posts), annotator)
+    classified = jobs.classify_questions(sentences.question_candidates(testdata.dealt(posts)), annotator)
     overwrite_datasets(observed_questions(classified, seen), done.questions)
     done.quality |= seen.get
     questions = P.read_table(spark, done.questions)
