@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quaestio.functions import text as T
 from quaestio.operators import annotate, evaluate, post_features, rules, sampling, sentences
 from quaestio.operators.closed_class import ClosedClassProvider
-from quaestio.plans import file_job, jobs
+from quaestio.plans import catalog, file_job, jobs
 from quaestio.sources import posts as P
 
 RAW = "id string, created_at string, full_text string, quoted_text string, hashtags string, favorite_count bigint, retweet_count bigint, dataset string"
@@ -88,3 +88,19 @@ def test_rising_declaratives_compute_only_what_they_read(spark):
     assert few.columns == [*df.columns, *want]
     assert sorted(few.collect()) == sorted(all_of.select(few.columns).collect())
     assert "qtype" not in few._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_post_text_of_candidates_is_written_once(spark, tmp_path):
+    words = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000)), lambda i: F.md5(F.concat_ws("-", "id", i))), " ")
+    text = F.when(F.col("id") == 7, None).otherwise(F.concat(words, F.lit("? "), F.reverse(words), F.lit("? "), F.substring(words, 1, 33000), F.lit("?")))
+    docs = spark.range(0, 200, 1, 4).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"),
+                                            F.lit("web").alias("source"), F.lit(10).cast("bigint").alias("n_chars"))
+    docs.union(docs.filter("doc_id < 2")).write.parquet(str(tmp_path / "documents.parquet"))  # two keys come twice
+    catalog.QUERIES["p27_s8_question_columns"](spark, str(tmp_path)).write.parquet(str(tmp_path / "out"))
+    got, docs = spark.read.parquet(str(tmp_path / "out")), spark.read.parquet(str(tmp_path / "documents.parquet"))
+    ids = sorted(r.id for r in got.select("id").collect())
+    assert ids == sorted(f"Q{d}.{j}" for d in [*range(200), 0, 1] if d != 7 for j in range(3 + (d % 4 in (0, 3))))
+    pairs = got.join(docs.dropDuplicates(["doc_id"]), F.col("tweet_id") == F.col("doc_id").cast("string"))
+    assert pairs.filter(F.contains("tweet_full_text", "text")).count() == len(ids)
+    size = {x: sum(os.path.getsize(f) for f in glob.glob(str(tmp_path / x / "*.parquet"))) for x in ("documents.parquet", "out")}
+    assert size["out"] < 1.2 * size["documents.parquet"]
