@@ -74,7 +74,7 @@ def classification_lines(questions: DataFrame, single_annotator: Annotator, k: i
     """A14 from a question table without parses: the sampled texts are parsed again in
     single-sentence mode and rendered with the tags and structure found then (P30)."""
     picked = sampling.classification_sample(questions, k).withColumnRenamed("structure", "sampled_structure").withColumnRenamed("use", "sampled_use")
-    parsed = rules.classify_sentences(single_annotator(picked))
+    parsed = rules.classified(picked, single_annotator, results=["tokens", "structure"])
     return parsed.select("language", F.lit("classification").alias("sheet"), F.concat_ws("/", "sampled_structure", "sampled_use").alias("section"),
                          "rank", T.render_tagged_line(F.col("tokens"), F.col("structure")).alias("line"))
 
