@@ -78,3 +78,19 @@ def test_parses_of_questions_stay_in_the_worker(spark, tmp_path):
         assert plan.count("MapInArrow") == 1 and "tokens[" not in plan and "inline_outer" not in plan
     got = jobs.questions(spark, str(tmp_path), catalog._parsed).select("text", "structure", "use").collect()
     assert any(r.structure == "wh" and r.use == "direct" for r in got) and all(r.use != "no" for r in got)
+
+
+def test_rare_words_share_what_they_say():
+    """As many different words as a table has cost no more than frequent ones."""
+    provider, kept = closed_class.ClosedClassProvider(), len(sentence_rules._WORDS)
+    texts = [f"Who{k}s knows why{k} {k} Word{k} - -x{k}'?" for k in range(3000)]
+    parses = [sents[-1] for sents in provider.parse(texts, "english")]
+    for text, tokens in zip(texts, parses):
+        sentence_rules.classify("english", text, tokens)
+        for t in tokens:
+            lemma, pos, morph = closed_class.lookup("english", t["text"], t["i"] == 0)
+            assert (t["lemma"], t["pos"], "|".join(f"{a}={','.join(b)}" for a, b in t["morph"].items())) == (lemma, pos, morph)
+            assert text[t["idx"]:].startswith(t["text"] + t["ws"])
+    assert len({t["text"] for tokens in parses for t in tokens}) > 12_000
+    assert len({id(t["morph"]) for tokens in parses for t in tokens}) < 10 and len(sentence_rules._WORDS) - kept < 20
+    assert [t["pos"] for t in parses[7]] == ["NOUN", "VERB", "NOUN", "NUM", "PROPN", "PUNCT", "NOUN", "PUNCT"]
